@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leontia.llm import quality, sentencepiece, sharding, tokenfile
+from leontia.llm import media, quality, sentencepiece, sharding, tokenfile, toxicity
 from leontia.llm.common import table
 
 
@@ -13,6 +13,15 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_digests(table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_output(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
@@ -26,7 +35,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_sentencepiece, op6_token_output, op9_quality_rules, op10_sharding)}
+    return {f.__name__: f for f in (op2_sentencepiece, op3_media_columns, op5_toxicity, op6_token_output, op9_quality_rules, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
