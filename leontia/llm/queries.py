@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leontia.llm import media, quality, sentencepiece, sharding, tokenfile, toxicity
+from leontia.llm import jaccard, media, quality, sentencepiece, sharding, tokenfile, toxicity
 from leontia.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(table(spark, sf_dir, "documents"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -35,7 +39,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_sentencepiece, op3_media_columns, op5_toxicity, op6_token_output, op9_quality_rules, op10_sharding)}
+    return {f.__name__: f for f in (op2_sentencepiece, op3_media_columns, op4_jaccard_join, op5_toxicity, op6_token_output, op9_quality_rules, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
