@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leontia.llm import jaccard, media, quality, sentencepiece, sharding, tokenfile, toxicity
+from leontia.llm import jaccard, media, quality, repeats, sentencepiece, sharding, tokenfile, toxicity
 from leontia.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_output(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(table(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_sentencepiece, op3_media_columns, op4_jaccard_join, op5_toxicity, op6_token_output, op9_quality_rules, op10_sharding)}
+    return {f.__name__: f for f in (op2_sentencepiece, op3_media_columns, op4_jaccard_join, op5_toxicity, op6_token_output, op8_suffix_dedup, op9_quality_rules, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ import pytest
 
 from leontia.llm import media, webp
 
-TEXTS = ["", None, "x", "é漢😀", "y" * 192, "z" * 193, "line one of text\n" * 300, "".join(chr(random.Random(1).randrange(32, 900)) for _ in range(9000)), "same", "same"]
+TEXTS = ["", None, "x", "é漢😀", "y" * 192, "z" * 193, "line one of text\n" * 300, "".join(map(chr, random.Random(1).choices(range(32, 900), k=9000))), "same", "same"]
 
 
 def test_digests(docs):
