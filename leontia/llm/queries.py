@@ -5,10 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from leontia.llm import jaccard, media, quality, repeats, sentencepiece, sharding, tokenfile, toxicity
+from leontia.llm import jaccard, media, mixing, pii, quality, repeats, sentencepiece, sharding, tokenfile, toxicity
 from leontia.llm.common import table
 
 
+#: The key of the surrogates in the registered query; a deployment sets its own.
+PII_KEY = "example key"
+
+
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -30,6 +38,10 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_output(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_hash")
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -42,8 +54,14 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_sentencepiece, op3_media_columns, op4_jaccard_join, op5_toxicity, op6_token_output, op8_suffix_dedup, op9_quality_rules, op10_sharding)}
+    return {f.__name__: f for f in (op1_pii_surrogates, op2_sentencepiece, op3_media_columns, op4_jaccard_join, op5_toxicity, op6_token_output, op7_mixing, op8_suffix_dedup, op9_quality_rules, op10_sharding, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
