@@ -6,6 +6,7 @@ pieces of about ``CHUNK`` bytes, so that the numpy temporaries stay small whatev
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,6 +21,7 @@ _U = np.uint64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # texts are long: 10,000 of them are too much for a worker
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -39,6 +41,15 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def trim() -> None:
+    """Hand free memory back to the system: workers are used again by tasks of other kinds."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser, so that near inputs give unrelated values."""
     h = h ^ (h >> _U(31))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leontia.llm.common import batch_of, chunks, counter_hash, cut, mix, row_of, shingle_hashes, word_hashes
+from leontia.llm.common import batch_of, chunks, counter_hash, cut, mix, row_of, shingle_hashes, trim, word_hashes
 from leontia.llm.graph import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -164,6 +164,7 @@ def by_group(df: DataFrame, key: str, most: int, apply: Callable[[pd.DataFrame],
             out = apply(held)
             if out is not None:
                 yield out
+        trim()
 
     return df.repartition(key).sortWithinPartitions(key).mapInPandas(run, schema)
 
@@ -210,18 +211,13 @@ def _exact_links(f: pd.DataFrame) -> pd.DataFrame:
     out = []
     keys = f["key"].to_numpy()
     edges = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
-    text = pa.array(f["text"], pa.large_string())
-    batch = pa.RecordBatch.from_arrays([text], ["text"])
-    grams, counts = [], []
-    for _, _, data, off in chunks(batch):
-        g, n = shingle_hashes(*word_hashes(data, off), SHINGLE)
-        grams.append(g), counts.append(n)
-    grams, counts = np.concatenate(grams), np.concatenate(counts)
-    at = np.concatenate([[0], np.cumsum(counts)])
     ids, weight, side = f["id"].to_numpy(), f["weight"].to_numpy(), f["side"].to_numpy()
     for s, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
-        row = row_of(counts[s:e])
-        shared, code, times = np.unique(grams[at[s] : at[e]], return_inverse=True, return_counts=True)
+        batch = pa.RecordBatch.from_arrays([pa.array(f["text"].iloc[s:e], pa.large_string())], ["text"])
+        parts = [shingle_hashes(*word_hashes(data, off), SHINGLE) for _, _, data, off in chunks(batch)]
+        grams, counts = (np.concatenate(x) for x in zip(*parts))
+        row = row_of(counts)
+        shared, code = np.unique(grams, return_inverse=True)
         pair = np.unique(row * len(shared) + code)
         row, code = pair // len(shared), pair % len(shared)
         size = np.bincount(row, minlength=e - s)
@@ -281,7 +277,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
     key = F.xxhash64("group", F.least("block", "other"), F.greatest("block", "other"))
     dealt = dealt.select("id", "weight", "text", key.alias("key"), side.alias("side"))
-    links = cut(by_group(dealt, "key", 256, _exact_links, "id long, links long, partner long"))
+    links = cut(by_group(dealt, "key", 64, _exact_links, "id long, links long, partner long"))
     found = links.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(links.select(F.col("id").alias("a"), F.col("partner").alias("b"))).select(F.col("node").alias("id"), "root")
     reps = classes.select("id", "low", "high", "n", "weight", "rep").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))

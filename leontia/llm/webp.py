@@ -32,7 +32,7 @@ class Bits:
     """Reads little-endian bit fields."""
 
     def __init__(self, raw: bytes):
-        self.n = 8 * len(raw)
+        self.raw, self.n = raw, 8 * len(raw)
         b = np.zeros(len(raw) + 16, np.uint64)
         b[: len(raw)] = np.frombuffer(raw, np.uint8)
         m = len(raw) + 8
@@ -42,6 +42,10 @@ class Bits:
         self.windows: list[int] = w.tolist()
         self.at = 0
 
+    def peek(self, at: int, n: int) -> int:
+        """n bits from a place, of any number."""
+        return int.from_bytes(self.raw[at >> 3 : (at + n + 7) >> 3], "little") >> (at & 7) & ((1 << n) - 1)
+
     def read(self, n: int) -> int:
         if self.at + n > self.n + 64:
             raise ValueError("the data ends too soon")
@@ -156,7 +160,8 @@ def code_lengths(counts: np.ndarray, most: int = MAX_CODE) -> np.ndarray:
         weights = [w // 2 + 1 for w in weights]
 
 
-def _read_lengths(bits: Bits, size: int) -> np.ndarray:
+def _read_lengths(bits: Bits, size: int) -> tuple[np.ndarray, int | None]:
+    """The code lengths, and how many of them were stored if that was said (else None)."""
     lengths = np.zeros(size, np.int64)
     if bits.read(1):
         two, wide = bits.read(1), bits.read(1)
@@ -166,7 +171,7 @@ def _read_lengths(bits: Bits, size: int) -> np.ndarray:
         if max(symbols) >= size:
             raise ValueError("a symbol is outside its alphabet")
         lengths[symbols] = 1
-        return lengths
+        return lengths, None
     own = np.zeros(19, np.int64)
     for k in LENGTH_ORDER[: 4 + bits.read(4)]:
         own[k] = bits.read(3)
@@ -188,7 +193,7 @@ def _read_lengths(bits: Bits, size: int) -> np.ndarray:
             raise ValueError("code lengths run over their alphabet")
         lengths[at : at + n] = value
         at += n
-    return lengths
+    return lengths, at if not left else None
 
 
 def _length_fields(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -251,13 +256,18 @@ def _prefix_split(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _read_codes(bits: Bits, cache: int):
-    group, made = [], {}
+    group, last = [], None
     for n in (280 + (1 << cache if cache else 0), 256, 256, 256, 40):
-        lengths = _read_lengths(bits, n)
-        key = lengths.tobytes().rstrip(b"\0")
-        if key not in made:
-            made[key] = code_table(lengths)
-        group += made[key]
+        if last and last[3] <= n and bits.peek(bits.at, last[1]) == last[0]:  # stored bit by bit as the one before
+            bits.at += last[1]
+            group += last[2]
+            continue
+        start = bits.at
+        lengths, end = _read_lengths(bits, n)
+        table = code_table(lengths)
+        if end is not None:
+            last = bits.peek(start, bits.at - start), bits.at - start, table, end
+        group += table
     return group
 
 
@@ -406,6 +416,8 @@ def _write_image(out: Writer, img: np.ndarray, cache: int = 0, main: bool = Fals
             _write_image(out, (meta.astype(np.uint32) << np.uint32(8)) | np.uint32(BLACK))
             group_of = np.repeat(np.repeat(meta, 1 << meta_bits, 0)[:h], 1 << meta_bits, 1)[:, :w].ravel()
     copies = _copies(p, least)
+    if 8 * sum(c[1] for c in copies) < len(p):  # a few do not pay for codes of their own
+        copies = []
     start = np.array([c[0] for c in copies], np.int64)
     inside = np.zeros(len(p) + 1, np.int64)
     for s, n, _ in copies:
