@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHUNK = 1 << 20
 _U = np.uint64
@@ -41,6 +42,23 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_FILTER_BITS, _PAGE = 1 << 24, 1 << 15
+
+
+def likely_in(df: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of ``df`` whose key may be in ``keys``: none that is gets lost, most others go before a shuffle.
+
+    A bit vector of hashed keys, of fixed size (2 MB), is what is broadcast, however many keys there are.
+    """
+    place = F.pmod(F.xxhash64(*columns), F.lit(_FILTER_BITS))
+    pages = keys.select(F.floor(place / _PAGE).alias("likely_page"), F.pmod(place, F.lit(_PAGE)).alias("p")).groupBy("likely_page").agg(F.bitmap_construct_agg("p").alias("likely_bits"))
+    at = df.withColumn("likely_place", place).withColumn("likely_page", F.floor(F.col("likely_place") / _PAGE))
+    byte = F.expr("conv(hex(substring(likely_bits, cast(likely_place % 32768 div 8 as int) + 1, 1)), 16, 10)").cast("int")
+    bit = F.expr("cast(likely_place % 8 as int)")
+    found = at.join(F.broadcast(pages), "likely_page").where((F.call_function("shiftright", byte, bit) % 2) == 1)
+    return found.select(*df.columns)
+
+
 def trim() -> None:
     """Hand free memory back to the system: workers are used again by tasks of other kinds."""
     pa.default_memory_pool().release_unused()

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leontia.llm.common import batch_of, chunks, counter_hash, cut, mix, row_of, shingle_hashes, trim, word_hashes
+from leontia.llm.common import batch_of, chunks, counter_hash, cut, likely_in, mix, row_of, shingle_hashes, trim, word_hashes
 from leontia.llm.graph import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -190,6 +190,8 @@ def candidate_edges(sets: DataFrame) -> DataFrame:
     for depth in range(1, DEPTH + 1):
         size = entries.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("least")).where("size > 1")
         entries = cut(entries.join(size, "path"))
+        if depth == 1:  # most sets have met none
+            sets = cut(likely_in(sets, entries, ["id"]))
         small = entries.where(F.col("size") <= BUCKET).join(sets, "id")
         found.append(cut(by_group(small.select("path", "id", "sketch"), "path", 4096, _compare_bucket, "a long, b long").distinct()))
         large = entries.where(F.col("size") > BUCKET)
@@ -271,7 +273,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     groups = groups.join(sizes, "group").select("id", "group", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     members = cut(groups.join(classes.select("id", F.col("rep").alias("doc_id"), "text_hash", "weight"), "id"))
-    texts = base.join(members, ["doc_id", "text_hash"]).dropDuplicates(["id"])
+    texts = likely_in(base, members, ["doc_id", "text_hash"]).join(members, ["doc_id", "text_hash"]).dropDuplicates(["id"])
     other = F.sequence(F.lit(0), F.col("blocks") - 1)
     dealt = texts.select("id", "weight", "text", "group", "block", F.explode(other).alias("other"))
     side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
