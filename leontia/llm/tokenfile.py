@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leontia.llm.common import WordCache, batch_of, chunks, cut, ramp, row_of, span_hash, prefix_hash, take_ragged, word_spans
+from leontia.llm.common import WordCache, batch_of, chunks, cut, prefix_hash, row_of, span_hash, word_spans
 
 MAGIC, SAMPLE, SHARD_IDS = b"LEFT0001", 64, 1 << 20
 _CACHES: dict[str, WordCache] = {}
