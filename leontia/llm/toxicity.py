@@ -276,7 +276,7 @@ def _distinct(rows: DataFrame) -> DataFrame:
 
 def _choose(pos: dict[str, int], neg: dict[str, int], n_pos: int, n_neg: int) -> list[str]:
     """Terms far more frequent in toxic texts; a stem only where no single word explains it."""
-    least = max(3, 0.01 * n_pos)
+    least = max(4, 0.02 * n_pos)
     ratio = {t: (n / n_pos) / ((neg.get(t, 0) + 0.5) / n_neg) for t, n in pos.items() if n >= least}
     good = {t for t, r in ratio.items() if r >= 8 and neg.get(t, 0) <= 0.02 * n_neg}
     word_best: dict[str, int] = {}
