@@ -41,18 +41,22 @@ _titles = "|".join(t for ts in TITLES.values() for t in ts)
 _given = "|".join(n for ns in GIVEN.values() for n in ns)
 _name = r"\p{Lu}\p{L}+"
 _secret = r"(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?"
-KINDS: dict[str, str] = {
-    "secret": rf"(?<![\p{{L}}\d]){_secret}[^\s\"',;]{{6,}}",
-    "email": r"(?<![\p{L}\d._%+-])[\p{L}\d._%+-]++@[\p{L}\d-]+(?:\.[\p{L}\d-]+)+",
-    "key": r"(?<![\p{L}\d])(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,})",
-    "iban": r"(?<![\p{L}\d])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\d])",
+_WORDS = {  # what starts at the start of a word
+    "secret": rf"(?=[PpSsTtAa]){_secret}[^\s\"',;]{{6,}}",
+    "email": r"(?<![._%+-])[\p{L}\d._%+-]++@[\p{L}\d-]+(?:\.[\p{L}\d-]+)+",
+    "key": r"(?=[Ags])(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,})",
+    "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\d])",
+    "person": rf"(?=\p{{Lu}})(?:(?:{_titles})\.? {_name}(?: {_name})?|(?:{_given})(?: {_name})?)(?![\p{{L}}\d])",
+}
+_NUMBERS = {  # what starts with a digit, a plus or a bracket
     "ip": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)",
-    "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)",
+    "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d.])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}(?!\d)",
-    "person": rf"(?<![\p{{L}}\d])(?:(?:{_titles})\.? {_name}(?: {_name})?|(?:{_given})(?: {_name})?)(?![\p{{L}}\d])",
 }
-PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
+KINDS: dict[str, str] = _WORDS | _NUMBERS
+#: Most places in a text are ruled out by the first test of either half.
+PATTERN = r"(?<![\p{L}\d])(?:" + "|".join(_WORDS.values()) + r")|(?=[\d+(])(?:" + "|".join(_NUMBERS.values()) + ")"
 
 
 def kind_of(m: Column) -> Column:
