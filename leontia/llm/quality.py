@@ -9,9 +9,10 @@ group of any size, also one with a third of all rows, is summed in every task be
 the k x k inversions run in Python, one row a group.
 
 Cases: null text counts as empty; a text without words fails the base rules; a null language or source is
-a group of its own; groups of fewer than ``MIN_ROWS`` rows that passed the base rules have no estimate and
-keep those rows; repeated rows count each; an empty table gives an empty result; constant statistics are
-covered by the floors added to the variances.
+a group of its own; a group of fewer than ``MIN_ROWS`` rows that passed the base rules is judged by the
+estimate of its language, or of all rows where the language has as few; the estimate of all rows takes any
+number, its floors the wider the fewer there are; repeated rows count each; an empty table gives an empty
+result; constant statistics are covered by the floors added to the variances.
 """
 
 from __future__ import annotations
@@ -124,7 +125,10 @@ def features(stats: DataFrame) -> DataFrame:
 _NAMES = list(FEATURES)
 _K = len(_NAMES)
 _PAIRS = [(i, j) for i in range(_K) for j in range(i, _K)]
-_PARAMS = "lang string, source string, start int, mu array<double>, prec array<double>, logdet double"
+_KEY = ["level", "lang", "source"]
+#: Estimates from the narrowest to the widest; ``level`` is the index.
+LEVELS = ("group", "lang", "all")
+_PARAMS = "level int, lang string, source string, start int, n long, mu array<double>, prec array<double>, logdet double"
 
 
 def _solve(moments: DataFrame, factor: float) -> DataFrame:
@@ -133,20 +137,20 @@ def _solve(moments: DataFrame, factor: float) -> DataFrame:
     def run(frames):
         for f in frames:
             mu, prec, logdet = [], [], []
-            for m, c in zip(f["mu"], f["cov"]):
+            for n, m, c in zip(f["n"], f["mu"], f["cov"]):
                 s = np.zeros((_K, _K))
                 for (i, j), v in zip(_PAIRS, c):
                     s[i, j] = s[j, i] = 0.0 if v is None or not math.isfinite(v) else v
-                s = s * factor + np.diag([w * w for w in FEATURES.values()])
+                s = s * factor + max(1.0, MIN_ROWS / n) * np.diag([w * w for w in FEATURES.values()])
                 mu.append(list(m)), prec.append(list(np.linalg.inv(s).ravel())), logdet.append(float(np.linalg.slogdet(s)[1]))
-            yield pd.DataFrame({"lang": f["lang"], "source": f["source"], "start": f["start"], "mu": mu, "prec": prec, "logdet": logdet})
+            yield pd.DataFrame({**{c: f[c] for c in (*_KEY, "start", "n")}, "mu": mu, "prec": prec, "logdet": logdet})
 
     return cut(moments.mapInPandas(run, _PARAMS))
 
 
 def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
     x = [F.col(n) for n in _NAMES]
-    return rows.groupBy(*keys).agg(F.array(*[F.avg(c) for c in x]).alias("mu"), F.array(*[F.covar_pop(x[i], x[j]) for i, j in _PAIRS]).alias("cov"))
+    return rows.groupBy(*keys).agg(F.first("n").alias("n"), F.array(*[F.avg(c) for c in x]).alias("mu"), F.array(*[F.covar_pop(x[i], x[j]) for i, j in _PAIRS]).alias("cov"))
 
 
 def distance2() -> Column:
@@ -155,15 +159,21 @@ def distance2() -> Column:
     return sum((F.col("prec")[i * _K + j] * d[i] * d[j] * (1.0 if i == j else 2.0) for i, j in _PAIRS), F.lit(0.0))
 
 
+def _at_levels(rows: DataFrame) -> DataFrame:
+    """The features of the rows of each estimate: every row in its group, its language and the whole."""
+    at = [F.struct(F.lit(i).alias("level"), lang.alias("lang"), source.alias("source")) for i, (lang, source) in enumerate([(F.col("lang"), F.col("source")), (F.col("lang"), F.lit("")), (F.lit(""), F.lit(""))])]
+    return rows.select(F.explode(F.array(*at)).alias("at"), *_NAMES).select("at.*", *_NAMES)
+
+
 def mcd(rows: DataFrame) -> DataFrame:
-    """(lang, source, mu, prec) of each group of at least MIN_ROWS rows with the features; nulls in keys must be gone."""
-    x, key = [F.col(n) for n in _NAMES], ["lang", "source"]
-    middle = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(c, 0.5, 1000).alias(f"m{i}") for i, c in enumerate(x)]).where(F.col("n") >= MIN_ROWS)
+    """(level, lang, source, mu, prec) of all rows and of each group or language of at least MIN_ROWS; nulls in keys must be gone."""
+    x, key, rows = [F.col(n) for n in _NAMES], _KEY, _at_levels(rows)
+    middle = cut(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(c, 0.5, 1000).alias(f"m{i}") for i, c in enumerate(x)]).where((F.col("n") >= MIN_ROWS) | (F.col("level") == len(LEVELS) - 1)))
     spread = rows.join(middle, key).groupBy(*key).agg(
-        *[F.first(f"m{i}").alias(f"m{i}") for i in range(_K)], *[F.percentile_approx(F.abs(c - F.col(f"m{i}")), 0.5, 1000).alias(f"s{i}") for i, c in enumerate(x)], F.array(*[F.avg(c) for c in x]).alias("mu"), F.array(*[F.covar_pop(x[i], x[j]) for i, j in _PAIRS]).alias("cov")
+        F.first("n").alias("n"), *[F.first(f"m{i}").alias(f"m{i}") for i in range(_K)], *[F.percentile_approx(F.abs(c - F.col(f"m{i}")), 0.5, 1000).alias(f"s{i}") for i, c in enumerate(x)], F.array(*[F.avg(c) for c in x]).alias("mu"), F.array(*[F.covar_pop(x[i], x[j]) for i, j in _PAIRS]).alias("cov")
     )
-    robust = spread.select(*key, F.lit(0).alias("start"), F.array(*[F.col(f"m{i}").cast("double") for i in range(_K)]).alias("mu"), F.array(*[F.pow(1.4826 * F.col(f"s{i}"), F.lit(2.0)) if i == j else F.lit(0.0) for i, j in _PAIRS]).alias("cov"))
-    spread = cut(robust.unionByName(spread.select(*key, F.lit(1).alias("start"), "mu", "cov")))
+    robust = spread.select(*key, "n", F.lit(0).alias("start"), F.array(*[F.col(f"m{i}").cast("double") for i in range(_K)]).alias("mu"), F.array(*[F.pow(1.4826 * F.col(f"s{i}"), F.lit(2.0)) if i == j else F.lit(0.0) for i, j in _PAIRS]).alias("cov"))
+    spread = cut(robust.unionByName(spread.select(*key, "n", F.lit(1).alias("start"), "mu", "cov")))
     params, factor = _solve(spread, 1.0), consistency(H, _K)
     for _ in range(STEPS):
         scored = rows.join(params, key).withColumn("d2", distance2())
@@ -174,15 +184,30 @@ def mcd(rows: DataFrame) -> DataFrame:
     return cut(best.select(*key, "b.mu", "b.prec"))
 
 
+def estimates(groups: DataFrame, params: DataFrame) -> DataFrame:
+    """(lang, source, level, mu, prec): the narrowest estimate there is for each group."""
+    at = [params.where(F.col("level") == i).select(F.col("lang").alias(f"lang{i}"), F.col("source").alias(f"source{i}"), F.struct("level", "mu", "prec").alias(f"e{i}")) for i in range(len(LEVELS))]
+    groups = groups.join(at[0], (F.col("lang") == F.col("lang0")) & (F.col("source") == F.col("source0")), "left")
+    groups = groups.join(at[1], F.col("lang") == F.col("lang1"), "left").join(F.broadcast(at[2]), F.lit(True), "left")
+    return groups.select("lang", "source", F.coalesce("e0", "e1", "e2").alias("e")).select("lang", "source", "e.*")
+
+
 def quality_verdicts(docs: DataFrame) -> DataFrame:
-    """One row a document: base statistics, base_failed, the squared distance within its group, kept."""
+    """One row a document: base statistics, base_failed, kept, the squared distance within its group, and the estimate it was judged by with the squared distance there.
+
+    ``distance2`` is null where the group has no estimate of its own; ``judged_distance2`` is what ``kept`` comes from.
+    """
     stats = cut(features(text_stats(docs)).withColumns({"lang": F.coalesce("lang", F.lit("")), "source": F.coalesce("source", F.lit(""))}))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     stats = stats.withColumn("base_failed", failed)
-    params = mcd(stats.where(~failed))
+    params = cut(estimates(stats.select("lang", "source").distinct(), mcd(stats.where(~failed))))
     far = F.coalesce(F.col("d2") > F.lit(chi2_quantile(1 - TAIL, _K)), F.lit(False))
+    judged = F.round("d2", 6)
     return (
         stats.join(params, ["lang", "source"], "left")
         .withColumn("d2", distance2())
-        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~far).alias("kept"), F.round("d2", 6).alias("distance2"))
+        .select(
+            "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~far).alias("kept"), F.when(F.col("level") == 0, judged).alias("distance2"),
+            F.element_at(F.array(*map(F.lit, LEVELS)), F.col("level") + 1).alias("judged_by"), judged.alias("judged_distance2"),
+        )
     )

@@ -47,6 +47,18 @@ def test_mcd_finds_outliers_despite_masking(docs):
     assert all(rows[i].kept and rows[i].distance2 is None for i in range(145, 148))
 
 
+def test_small_groups_are_judged(docs):
+    r = random.Random(4)
+    junk = lambda: prose(r, 80).replace(" ", "### ")
+    clean = [(prose(r, r.randrange(60, 400)), "en", f"s{i % 6}") for i in range(120)]  # 20 in each group
+    few = [(junk(), "en", f"s{i % 3}") for i in range(9)] + [(junk(), None, "rare"), (junk(), "xx", None)]
+    rows = {x.doc_id: x for x in quality.quality_verdicts(docs(clean + few)).collect()}
+    assert all(rows[i].kept for i in range(120)) and not any(rows[i].kept or rows[i].base_failed for i in range(120, 131))
+    assert {rows[i].judged_by for i in range(129)} == {"lang"} and {rows[i].judged_by for i in (129, 130)} == {"all"}
+    rows = [x for x in quality.quality_verdicts(docs(clean[:20] + few[:3])).collect() if not x.base_failed]  # fewer than MIN_ROWS in all
+    assert [x.kept for x in sorted(rows, key=lambda x: x.doc_id)] == [True] * 20 + [False] * 3
+
+
 def test_mcd_constants():
     assert abs(quality.chi2_quantile(0.95, 5) - 11.0705) < 1e-3
     assert abs(quality.consistency(0.75, 5) - 1.32) < 0.15
