@@ -1,16 +1,18 @@
 """Mixing sources to target weights, with Spark's own functions only.
 
-1. A naive Bayes classifier over binned statistics of the text is fitted on the labelled table by one
-   aggregation; its counts, of fixed size, go into the plan.  It gives each document posteriors over the
-   domains: 'toxic', else 'high' or 'low' by quality.
+1. Terms that mark the domains of ``TERM_DOMAINS``, words and stems of words, are mined from all labelled rows
+   by one explode and aggregation.  A naive Bayes classifier over binned statistics of the text, the
+   numbers of these terms among them, is fitted on the labelled table by one aggregation; its counts, of
+   fixed size, go into the plan.  It gives each document posteriors over the domains: 'toxic', else 'high'
+   or 'low' by quality.
 2. Rates r >= ``least`` are fitted so that the expected tokens of each domain, sum of r * tokens *
    posterior, match ``weights`` times ``budget`` times all tokens.  Distributed projected gradient for least
    squares, with a pull of strength ``PULL`` towards rate 1: documents with equal bins have equal posteriors
    and so equal rates, hence the gradient steps run over one row per cell of bins with its summed tokens.
    Each step sums the domains' totals over the cells and moves every cell's rate.
 
-Cases: null counts as empty; labels without values are not used; without labels the posteriors are
-uniform; a document without words has no tokens and keeps the rate of its bins; repeated rows count each;
+Cases: null counts as empty; labels without values are not used; without labels there are no terms and the
+posteriors are uniform; a document without words has no tokens and keeps the rate of its bins; repeated rows count each;
 an empty table gives an empty result.
 """
 
@@ -22,13 +24,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leontia.llm.common import cut
+from leontia.llm.common import cut, likely_in
 
 DOMAINS = ("high", "low", "toxic")
 PULL, STEPS, UNROLL, TOLERANCE = 0.002, 80, 4, 1e-4
 WEIGHTS = {"high": 0.7, "low": 0.25, "toxic": 0.05}
-# Words that mark abuse, as one of the classifier's statistics.
-ABUSE = "clown|disgusting|idiot|loser|moron|pathetic|scum|stupid|trash|worthless"
+TERM_DOMAINS, STEMS, MAX_TERMS, MAX_CANDIDATES, SURE = ("toxic", "low"), (4, 5, 6, 7), 256, 20000, 20.0
+_LETTER = r"[\p{L}\p{N}]"
 
 
 def _share(text: Column, letters: str) -> Column:
@@ -39,10 +41,68 @@ def _bin(x: Column, edges: list[float]) -> Column:
     return sum((F.when(x > e, 1).otherwise(0) for e in edges), F.lit(0))
 
 
-FEATURES = ("b_length", "b_symbol", "b_upper", "b_digit", "b_shout", "b_break", "b_word", "b_lines", "b_abuse")
+FEATURES = ("b_length", "b_symbol", "b_upper", "b_digit", "b_shout", "b_break", "b_word", "b_lines", *[f"b_terms_{d}" for d in TERM_DOMAINS])
 
 
-def statistics(docs: DataFrame) -> DataFrame:
+def choose_terms(found: list[tuple[str, int, int, float]]) -> list[str]:
+    """From (term, rows, most rows with one word of it, ratio): stems (with ``*``) that no single word explains, and the other words."""
+    stems: list[str] = []
+    for t, n, best, _ in sorted(found, key=lambda x: (len(x[0]), x[0])):
+        if t.endswith("*") and n > 1.5 * best and not t.startswith(tuple(stems)):
+            stems.append(t[:-1])
+    terms = [x for x in found if (x[0][:-1] in stems if x[0].endswith("*") else not x[0].startswith(tuple(stems)))]
+    return [x[0] for x in sorted(terms, key=lambda x: (-x[1] * math.log(x[3]), x[0]))[:MAX_TERMS]]
+
+
+def mine_terms(docs: DataFrame, labels: DataFrame) -> dict[str, list[str]]:
+    """Terms at least 8 times as frequent in the labelled rows of a domain as in the others, by domain.
+
+    A word counts once a row, a stem once for each of its words in a row; needed are 1 % of the domain's rows, four at least,
+    and more than chance gives among many words (the likelihood ratio statistic reaches ``SURE``).
+    """
+    known = labels.select("doc_id", domain_of(F.col("quality"), F.col("toxic")).alias("domain")).where("domain IS NOT NULL")
+    rows = likely_in(docs.select("doc_id", "text"), known, ["doc_id"]).join(known, "doc_id")
+    words = F.array_union(F.split(F.lower(F.coalesce("text", F.lit(""))), rf"[^{_LETTER[1:]}+"), F.array(F.lit("")))  # '' counts the rows
+    counts = cut(rows.select("domain", F.explode(words).alias("word")).groupBy("word").agg(*[F.count_if(F.col("domain") == d).alias(d) for d in DOMAINS]))
+    totals = counts.where("word = ''").first()
+    if totals is None:
+        return {d: [] for d in TERM_DOMAINS}
+    stems = [F.when(F.length("word") > k, F.concat(F.substring("word", 1, k), F.lit("*"))) for k in STEMS]
+    terms = counts.where("length(word) BETWEEN 3 AND 32").select(F.explode(F.array_compact(F.array("word", *stems))).alias("term"), *DOMAINS)
+    terms = cut(terms.groupBy("term").agg(*[F.sum(d).alias(d) for d in DOMAINS], *[F.max(d).alias(f"best_{d}") for d in DOMAINS]))
+    out = {}
+    for d in TERM_DOMAINS:
+        own, others = totals[d], sum(totals[e] for e in DOMAINS if e != d)
+        if not own or not others:
+            out[d] = []
+            continue
+        n, m, share = F.col(d), sum((F.col(e) for e in DOMAINS if e != d), F.lit(0)), own / (own + others)
+        ratio = (n / own) / ((m + 0.5) / others)
+        surprise = 2 * (n * F.log(n / ((n + m) * share)) + F.when(m > 0, m * F.log(m / ((n + m) * (1 - share)))).otherwise(0.0))
+        good = terms.where((n >= max(4, 0.01 * own)) & (ratio >= 8) & (surprise >= SURE)).select("term", d, f"best_{d}", ratio.alias("ratio"))
+        out[d] = choose_terms([tuple(r) for r in good.orderBy(F.desc(F.col(d) * F.log("ratio")), "term").limit(MAX_CANDIDATES).collect()])
+    return out
+
+
+def pattern(terms: list[str]) -> str:
+    """A regular expression of the terms at the beginning of words, by their trie, so that a place is tried once."""
+    root: dict = {}
+    for t in terms:
+        node = root
+        for c in t.removesuffix("*"):
+            node = node.setdefault(c, {})
+        node["stem" if t.endswith("*") else "word"] = {}
+
+    def of(node: dict) -> str:
+        if "stem" in node:
+            return ""
+        parts = [c + of(kid) for c, kid in sorted(node.items()) if c != "word"] + [f"(?!{_LETTER})"] * ("word" in node)
+        return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+    return f"(?=[{''.join(sorted(root))}])(?<!{_LETTER}){of(root)}"
+
+
+def statistics(docs: DataFrame, terms: dict[str, list[str]]) -> DataFrame:
     """(doc_id, text_hash, tokens, bins of FEATURES) of every whole text."""
     t = F.coalesce(F.col("text"), F.lit(""))
     lines = F.split(t, "\n")
@@ -55,8 +115,10 @@ def statistics(docs: DataFrame) -> DataFrame:
         "b_break": _bin(_share(t, "\n"), [0, 0.005, 0.02]),
         "b_word": _bin(F.length(t) / F.greatest(F.length(t) - F.length(F.translate(t, " \n", "")), F.lit(1)), [4.5, 5.5, 6.5, 7.5, 9]),
         "b_lines": _bin(1 - F.size(F.array_distinct(lines)) / F.size(lines), [0, 0.1, 0.3, 0.6]),
-        "b_abuse": F.lower(t).rlike(rf"\b(?:{ABUSE})\b").cast("int"),
     }
+    for d in TERM_DOMAINS:
+        hits = F.regexp_count(F.lower(t), F.lit(pattern(terms[d]))) if terms.get(d) else F.lit(0)
+        bins[f"b_terms_{d}"] = F.least(hits, F.lit(3)).cast("int")
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.regexp_count(t, F.lit(r"\S+")).cast("long").alias("tokens"), *[c.alias(n) for n, c in bins.items()])
 
 
@@ -126,7 +188,7 @@ def fit_rates(cells: DataFrame, weights: dict[str, float], budget: float, least:
 
 def mix_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, budget: float = 1.0, least: float = 0.0) -> DataFrame:
     """One row a document: doc_id, text_hash, tokens, posteriors p_<domain>, rate."""
-    stats = cut(statistics(docs))
+    stats = cut(statistics(docs, mine_terms(docs, labels)))
     model = fit_classifier(stats, labels)
     cells = stats.groupBy(*FEATURES).agg(F.sum("tokens").alias("tokens"))
     cells = cut(cells.select(*FEATURES, "tokens", *[q.alias(f"p_{d}") for q, d in zip(posteriors(model), DOMAINS)]))

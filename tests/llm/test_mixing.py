@@ -28,6 +28,34 @@ def test_totals_match_targets(tables):
         assert abs((out.rate * out.tokens * out[f"p_{d}"]).sum() / total - w) < 0.02
 
 
+def test_terms_are_learned(spark, docs):
+    r = random.Random(5)
+    word = lambda: "".join(r.choices("abcdefgh", k=6))
+    tail = lambda: "".join(r.choices("xyz", k=3))
+    texts, labels = [], []
+    for i in range(400):
+        text = [word() for _ in range(60)]
+        toxic = i % 4 == 0
+        if toxic:  # one stem with many endings, one word; both outside ASCII and in no list
+            text[10:10] = [f"réeu{tail()}", "Grœbel"] if i % 8 else [f"réeu{tail()}", f"réeu{tail()}"]
+        texts.append(" ".join(text))
+        if i < 200:
+            labels.append((i, 1, int(toxic)))
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    terms = mixing.mine_terms(docs(texts), labels)
+    assert set(terms["toxic"]) == {"réeu*", "grœbel"} and terms["low"] == []
+    rows = {x.doc_id: x for x in mixing.mix_rates(docs(texts), labels).collect()}
+    assert all((rows[i].p_toxic > 0.9) == (i % 4 == 0) for i in range(200, 400))
+    assert max(rows[i].rate for i in range(0, 400, 4)) < min(rows[i].rate for i in range(1, 400, 4))
+
+
+def test_pattern_equals_brute_force(spark):
+    terms = ["abc", "abcd", "ab9*", "été*", "x"]
+    texts = ["abc abcd abcde ab9 ab9zz xabc", "été étéx xété x-x", "", "ABC, abc.abcd"]
+    got = [r.n for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").selectExpr(f"regexp_count(lower(t), r'{mixing.pattern(terms)}') AS n").collect()]
+    assert got == [4, 4, 0, 3]
+
+
 def test_rates_equal_brute_force(spark):
     r = np.random.default_rng(2)
     tokens, p = r.choice(900, 12, replace=False) + 1, r.dirichlet([0.4] * 3, 12)
