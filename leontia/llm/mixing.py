@@ -12,7 +12,8 @@
    Each step sums the domains' totals over the cells and moves every cell's rate.
 
 Cases: null counts as empty; labels without values are not used; without labels there are no terms and the
-posteriors are uniform; a document without words has no tokens and keeps the rate of its bins; repeated rows count each;
+posteriors are uniform; a document without words has no tokens and keeps the rate of its bins; a null doc_id has no label
+and is kept like any other; repeated rows count each;
 an empty table gives an empty result.
 """
 
@@ -201,6 +202,6 @@ def repeat_by_rate(docs: DataFrame, rates: DataFrame) -> DataFrame:
     """Each document as often as its rate says; the fraction is rounded by a hash of (doc_id, text), so runs agree."""
     chance = F.pmod(F.xxhash64("doc_id", "mix_hash"), F.lit(1 << 30)) / float(1 << 30)
     times = F.floor(F.col("mix_rate") + chance).cast("int")
-    rates = rates.select("doc_id", F.col("text_hash").alias("mix_hash"), F.col("rate").alias("mix_rate")).distinct()
-    joined = docs.withColumn("mix_hash", F.xxhash64("text")).join(rates, ["doc_id", "mix_hash"])
+    rates = rates.select(F.col("doc_id").alias("mix_id"), F.col("text_hash").alias("mix_same"), F.col("rate").alias("mix_rate")).distinct()
+    joined = docs.withColumn("mix_hash", F.xxhash64("text")).join(rates, F.col("doc_id").eqNullSafe(F.col("mix_id")) & (F.col("mix_hash") == F.col("mix_same")))
     return joined.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)

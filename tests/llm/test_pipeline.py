@@ -44,6 +44,15 @@ def test_stages_and_run(spark, folder):
     assert all(r.ids == lib.encode(bodies[r.doc_id] or "") and r.decoded == (bodies[r.doc_id] or "") for r in out)
 
 
+def test_mixing_keeps_null_ids(spark, folder):
+    path, texts = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    some = docs.where("doc_id < 100 OR text IS NULL").selectExpr("IF(doc_id % 10 = 0 OR text IS NULL, NULL, doc_id) AS doc_id", *docs.columns[1:])
+    mixed = corpus_pipeline.mixing_stage(spark, some, path)
+    key = lambda r: (r.doc_id or -1, r.text or "")
+    assert mixed.columns == docs.columns and {key(r) for r in mixed.collect()} == {key(r) for r in some.collect()}
+
+
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "jaccard", "pii", "mixing", "sentencepiece"]
     assert toxicity.THRESHOLD == 0.3 and pii.KINDS and mixing.DOMAINS
