@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,10 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's checkpoint folder."""
+    """The folder that driver and executors share: the session's checkpoint folder; one of its own only in local mode."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="leontia-"))
+        place = spark.conf.get("spark.checkpoint.dir", None)
+        if place is None and not sc.master.startswith("local"):
+            raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(place or tempfile.mkdtemp(prefix="leontia-"))
     return sc.getCheckpointDir()
 
 
@@ -82,33 +86,36 @@ def counter_hash(n: int, seed: int) -> np.ndarray:
     return mix(mix(np.arange(1, n + 1, dtype=_U) * _U(0x9E3779B97F4A7C15) + _U(seed)))
 
 
-_BYTE = counter_hash(256, 11)
-_P = 0xD6E8FEB86659FD93
-_PINV = pow(_P, -1, 1 << 64)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(12, int(n).bit_length())
-    if size not in _POWERS:
-        _POWERS.clear()
-        up, down = np.full(size, _P, _U), np.full(size, _PINV, _U)
-        up[0] = down[0] = 1
-        _POWERS[size] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _POWERS[size]
-
-
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Running polynomial sums, for :func:`span_hash`; one element more than ``data``."""
-    out = np.zeros(len(data) + 1, _U)
-    np.cumsum(_BYTE[data] * _powers(len(data))[0][: len(data)], out=out[1:])
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes that start at each place, as one integer; zeros follow the end."""
+    n = len(data)
+    padded = np.zeros(n + 16, np.uint8)
+    padded[:n] = data
+    out = np.empty(n + 1, _U)
+    for k in range(min(8, n + 1)):
+        part = out[k::8]
+        part[:] = np.frombuffer(padded, "<u8", len(part), k)
     return out
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, equal for equal bytes wherever they stand."""
-    down = _powers(len(prefix) - 1)[1]
-    return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(_U) * _U(0xA24BAED4963EE407))
+def span_hash(words: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of byte spans of the data of :func:`eights`, equal for equal bytes wherever they stand.
+
+    Each eight bytes are mixed into the state by a bijection, so no pattern of bytes cancels out.
+    """
+    size = end - start
+    h = mix(size.astype(_U) * _U(0xA24BAED4963EE407) + _U(0x9E3779B97F4A7C15 * (seed + 1) & (1 << 64) - 1))
+    least, most = (int(size.min()), int(size.max())) if len(size) else (0, 0)
+    for k in range(0, most, 8):
+        if k + 8 <= least:
+            h = mix(h ^ words[start + k])
+            continue
+        live = np.flatnonzero(size > k)
+        h[live] = mix(h[live] ^ (words[start[live] + k] & _MASK[np.minimum(size[live] - k, 8)]))
+    return h
 
 
 def strings(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,63 +184,107 @@ def sums(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
     return run[off[1:]] - run[off[:-1]]
 
 
+def coded(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """(number of each span's text among the distinct ones, the distinct texts); spans ascend and do not overlap.  Exact."""
+    n = len(start)
+    if not n:
+        return np.zeros(0, np.int64), []
+    off = np.empty(2 * n + 1, np.int64)
+    off[:-1:2], off[1::2], off[-1] = start, end, end[-1]  # every second element is a gap
+    raw = np.ascontiguousarray(data)
+    found = pa.Array.from_buffers(pa.large_binary(), 2 * n, [None, pa.py_buffer(off), pa.py_buffer(raw)]).dictionary_encode()
+    codes = found.indices.to_numpy()[::2]
+    used = np.flatnonzero(np.bincount(codes, minlength=len(found.dictionary)))
+    place = np.zeros(len(found.dictionary), np.int64)
+    place[used] = np.arange(len(used))
+    return place[codes], found.dictionary.take(pa.array(used)).to_pylist()
+
+
 def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, words per row)."""
+    """(hash of each word, words per row); a word is hashed once a chunk."""
     start, end, counts = word_spans(data, off)
-    return span_hash(prefix_hash(data), start, end), counts
+    codes, distinct = coded(data, start, end)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), _U, len(distinct))[codes], counts
+
+
+_TERMS = counter_hash(16, 31) | _U(1)
 
 
 def shingle_hashes(words: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each window of k words, windows per row), in order; a row of 1 to k-1 words has one window of them all."""
     if not len(words):
         return np.zeros(0, _U), np.zeros(len(counts), np.int64)
-    up, down = _powers(len(words))
-    run = np.zeros(len(words) + 1, _U)
-    np.cumsum(words * up[: len(words)], out=run[1:])
     n = np.where(counts >= k, counts - k + 1, np.minimum(counts, 1))
-    first = np.cumsum(counts) - counts
-    start = np.repeat(first, n) + ramp(n)
+    start = np.repeat(np.cumsum(counts) - counts, n) + ramp(n)
     width = np.repeat(np.minimum(counts, k), n)
-    return mix((run[start + width] - run[start]) * down[start] + width.astype(_U)), n
+    total = width.astype(_U)
+    for j in range(k):
+        total += np.where(width > j, words[np.minimum(start + j, len(words) - 1)] * _TERMS[j], _U(0))
+    return mix(total), n
 
 
 def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=schema.field(n).type) for n, c in ((n, columns[n]) for n in schema.names)], schema=schema)
 
 
+class _Growing:
+    """An array that is appended to."""
+
+    def __init__(self, dtype):
+        self.room, self.n = np.zeros(1024, dtype), 0
+
+    def add(self, values: np.ndarray) -> None:
+        end = self.n + len(values)
+        if end > len(self.room):
+            room = np.zeros(max(end, 2 * len(self.room)), self.room.dtype)
+            room[: self.n] = self.room[: self.n]
+            self.room = room
+        self.room[self.n : end] = values
+        self.n = end
+
+
 class WordCache:
-    """Token lists of distinct words, kept from batch to batch as sorted hashes and one flat array.
+    """Token lists of distinct words, kept from batch to batch; words are told apart by their bytes.
 
-    ``encode`` takes a list of words (bytes) and returns (flat ids, number of ids of each).  Beyond
-    ``limit`` words the cache starts anew, so a worker's memory is bounded.
+    ``encode`` takes a list of words (bytes) and returns (flat ids, number of ids of each).  Words over
+    ``LONG`` bytes are encoded anew in each chunk, and beyond ``limit`` words the cache starts anew, so a worker's
+    memory is bounded.
     """
 
-    def __init__(self, encode, dtype, limit: int = 1_500_000):
+    LONG = 64
+
+    def __init__(self, encode, dtype, limit: int = 400_000):
         self.encode, self.dtype, self.limit = encode, dtype, limit
         self._clear()
 
     def _clear(self) -> None:
-        self.keys, self.start, self.count, self.flat = np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, self.dtype)
-
-    def lookup(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(flat ids, ids per word) of the given words."""
-        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.keys, distinct)
-        known = np.zeros(len(distinct), bool)
-        if len(self.keys):
-            known = self.keys[np.minimum(at, len(self.keys) - 1)] == distinct
-        if not known.all():
-            if len(self.keys) + int((~known).sum()) > self.limit and len(self.keys):
-                self._clear()
-                known[:] = False
-            new = distinct[~known]
-            raw = data.tobytes()
-            flat, count = self.encode([raw[s:e] for s, e in zip(start[first[~known]].tolist(), end[first[~known]].tolist())])
-            count = np.asarray(count, np.int32)
-            begin = len(self.flat) + np.cumsum(count, dtype=np.int64) - count
-            self.flat = np.concatenate([self.flat, np.asarray(flat, self.dtype)])
-            where = np.searchsorted(self.keys, new)
-            self.keys, self.start, self.count = np.insert(self.keys, where, new), np.insert(self.start, where, begin), np.insert(self.count, where, count)
-            at = np.searchsorted(self.keys, distinct)
-        count = self.count[at][inverse].astype(np.int64)
-        return take_ragged(self.flat, self.start[at][inverse], count), count
+        self.index: dict[bytes, int] = {}
+        self.start, self.count, self.flat = _Growing(np.int64), _Growing(np.int64), _Growing(self.dtype)
+
+    def _encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        flat, count = self.encode(words) if words else ([], [])
+        return np.asarray(flat, self.dtype), np.asarray(count, np.int64)
+
+    def lookup(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(flat ids, ids per word) of the given spans, which ascend and do not overlap."""
+        codes, distinct = coded(data, start, end)
+        new = [w for w in distinct if w not in self.index and len(w) <= self.LONG]
+        if len(self.index) + len(new) > self.limit and self.index:
+            self._clear()
+            new = [w for w in distinct if len(w) <= self.LONG]
+        flat, count = self._encoded(new)
+        self.start.add(self.flat.n + np.cumsum(count) - count)
+        self.count.add(count)
+        self.flat.add(flat)
+        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
+        long = [w for w in distinct if len(w) > self.LONG]
+        more, more_count = self._encoded(long)
+        at = np.fromiter((self.index.get(w, -1) for w in distinct), np.int64, len(distinct))
+        first, number = self.start.room[at], self.count.room[at]  # of the chunk's distinct words
+        number[at < 0] = more_count
+        short = take_ragged(self.flat.room, first[at >= 0], number[at >= 0])
+        known = number[at >= 0]
+        first[at >= 0] = np.cumsum(known) - known
+        first[at < 0] = len(short) + np.cumsum(more_count) - more_count
+        number = number[codes]
+        return take_ragged(np.concatenate([short, more]), first[codes], number), number

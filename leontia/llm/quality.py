@@ -25,14 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leontia.llm.common import batch_of, chunks, cut, mix, prefix_hash, ramp, row_of, shingle_hashes, span_hash, sums, word_spans
+from leontia.llm.common import batch_of, chunks, coded, cut, ramp, sums, word_spans
 
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WIDTH = 50, 50, 3
 H, STEPS, MIN_ROWS, TAIL = 0.75, 4, 40, 1e-9
 #: Least standard deviation of each feature, in its own units: below it, differences do not matter.
 FEATURES = {"f_words": 0.25, "f_length": 0.05, "f_symbols": 0.35, "f_dup": 0.15, "f_repeat": 0.15}
 
-_SALT = np.uint64(0xC2B2AE3D27D4EB4F)
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[np.frombuffer(b"#*$%&|<>", np.uint8)] = True
 _SCHEMA = pa.schema([(n, pa.int64()) for n in ("doc_id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")] + [("lang", pa.string()), ("source", pa.string())])
@@ -43,7 +42,6 @@ def count_stats(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     """The statistics of the texts data[off[i] : off[i + 1]]."""
     rows = len(off) - 1
     start, end, n_words = word_spans(data, off)
-    prefix = prefix_hash(data)
     in_word = np.zeros(len(data) + 1, np.int8)
     in_word[start] += 1
     in_word[end] -= 1
@@ -56,18 +54,19 @@ def count_stats(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     words = np.searchsorted(start, hi) - np.searchsorted(start, lo)
     lo, hi = lo[words > 0], hi[words > 0]
     row = np.searchsorted(off, lo, "right") - 1
-    _, first = np.unique(mix(span_hash(prefix, lo, hi) + row.astype(np.uint64) * _SALT), return_index=True)
+    code, distinct = coded(data, lo, hi)
+    _, first = np.unique(row * (len(distinct) + 1) + code, return_index=True)
     out["n_lines"] = np.bincount(row, minlength=rows)
     out["n_dup_lines"] = out["n_lines"] - np.bincount(row[first], minlength=rows)
 
     windows = np.maximum(n_words - REPEAT_WIDTH + 1, 0)
-    grams, n = shingle_hashes(span_hash(prefix, start, end), n_words, REPEAT_WIDTH)
-    whole = np.repeat(n_words >= REPEAT_WIDTH, n)
-    key = mix(grams[whole] + row_of(windows).astype(np.uint64) * _SALT)
-    _, inverse, times = np.unique(key, return_inverse=True, return_counts=True)
     first_word = np.repeat(np.cumsum(n_words) - n_words, windows) + ramp(windows)
+    code, distinct = coded(data, start, end)
+    key = np.repeat(np.arange(rows), windows)  # numbers stay below windows * distinct words, far under 2^63
+    for k in range(REPEAT_WIDTH):
+        _, key, times = np.unique(key * (len(distinct) + 1) + code[first_word + k], return_inverse=True, return_counts=True)
     edge = np.zeros(len(start) + REPEAT_WIDTH + 1, np.int64)
-    hit = first_word[times[inverse] >= 2] if len(key) else np.zeros(0, int)
+    hit = first_word[times[key] >= 2] if len(key) else first_word
     edge[hit] += 1
     edge[hit + REPEAT_WIDTH] -= 1
     covered = np.cumsum(edge)[: len(start)] > 0

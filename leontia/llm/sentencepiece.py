@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from leontia.llm.common import WordCache, batch_of, chunks, prefix_hash, row_of, span_hash, take_ragged
+from leontia.llm.common import WordCache, batch_of, chunks, eights, row_of, span_hash, sums, take_ragged
 
 LONG, CELLS = 40, 1 << 20
 MARK = "▁".encode()
@@ -100,25 +100,34 @@ class Model:
         if any(b" " in p.lstrip(b" ") for p in keyed):
             raise ValueError("a piece holds a space after another character")
         flat = np.frombuffer(b"".join(keyed), np.uint8)
-        end = np.cumsum([len(p) for p in keyed])
-        keys = span_hash(prefix_hash(flat), end - [len(p) for p in keyed], end)
+        size = np.array([len(p) for p in keyed], np.int64)
+        end = np.cumsum(size)
+        keys = span_hash(eights(flat), end - size, end)
         order = np.argsort(keys)
+        self.flat, self.begin, self.size = flat, (end - size)[order], size[order]
         self.keys, self.ids, self.scores = keys[order], ids[order].astype(np.int32), np.array(scores)[ids[order]]
         self.unk_score = float(np.min(self.scores)) - 10.0
         self.longest = max(len(p.decode("utf-8")) for p in keyed)
 
-    def probe(self, hashes: np.ndarray) -> np.ndarray:
-        """Places in ``keys``, or -1."""
+    def probe(self, data: np.ndarray, words: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Places in ``keys`` of the pieces that the spans are, or -1; a hash that hits is compared byte by byte."""
+        hashes = span_hash(words, start, end)
         at = np.searchsorted(self.keys, hashes)
         at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == hashes, at, -1)
+        hit = np.flatnonzero((self.keys[at] == hashes) & (self.size[at] == end - start))
+        size = self.size[at[hit]]
+        other = take_ragged(data, start[hit], size) != take_ragged(self.flat, self.begin[at[hit]], size)
+        hit = hit[sums(other, np.concatenate([[0], np.cumsum(size)])) == 0]
+        out = np.full(len(at), -1, np.int64)
+        out[hit] = at[hit]
+        return out
 
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, ids per word)."""
         data = np.frombuffer(b"".join(words), np.uint8)
         size = np.fromiter(map(len, words), np.int64, len(words))
         off = np.concatenate([[0], np.cumsum(size)])
-        prefix = prefix_hash(data)
+        prefix = data, eights(data)
         first = np.flatnonzero((data & 0xC0) != 0x80)
         chars = np.diff(np.searchsorted(first, off))
         begin = np.cumsum(chars) - chars
@@ -155,14 +164,14 @@ class Model:
             counts.append(len(flat) - before)
         return np.array(flat, np.int32), np.array(counts, np.int64)
 
-    def _table(self, prefix: np.ndarray, at: np.ndarray) -> np.ndarray:
+    def _table(self, prefix: tuple[np.ndarray, np.ndarray], at: np.ndarray) -> np.ndarray:
         """place[row, start, width - 1] of the piece that a substring is, or -1."""
         m, length = at.shape[0], at.shape[1] - 1
         most = min(length, self.longest)
         place = np.full((m, length, most), -1, np.int32)
         for width in range(1, most + 1):
             s, e = at[:, : length - width + 1], at[:, width:]
-            place[:, : length - width + 1, width - 1] = self.probe(span_hash(prefix, s.ravel(), e.ravel())).reshape(s.shape)
+            place[:, : length - width + 1, width - 1] = self.probe(*prefix, s.ravel(), e.ravel()).reshape(s.shape)
         return place
 
     def _spell_ready(self, at: np.ndarray, cuts: list[tuple[np.ndarray, np.ndarray]]):
@@ -215,13 +224,13 @@ class Model:
             out.append((c, place[r, c[:-1], c[1:] - c[:-1] - 1]))
         return out
 
-    def _heap(self, prefix: np.ndarray, at: np.ndarray):
+    def _heap(self, prefix: tuple[np.ndarray, np.ndarray], at: np.ndarray):
         """One long row by BPE, with a heap of pairs."""
         n = len(at) - 1
         left, right, end = list(range(-1, n - 1)), list(range(1, n + 1)), list(range(1, n + 1))
         alive = [True] * n
-        single = self.probe(span_hash(prefix, at[:-1], at[1:]))
-        double = self.probe(span_hash(prefix, at[:-2], at[2:])) if n > 1 else []
+        single = self.probe(*prefix, at[:-1], at[1:])
+        double = self.probe(*prefix, at[:-2], at[2:]) if n > 1 else []
         found = single.tolist()
         heap = [(-self.scores[p], i, i + 2, p) for i, p in enumerate(np.asarray(double).tolist()) if p >= 0]
         heapq.heapify(heap)
@@ -229,7 +238,7 @@ class Model:
         def offer(i: int) -> None:
             j = right[i]
             if i >= 0 and j < n and end[j] - i <= self.longest:
-                p = int(self.probe(span_hash(prefix, at[i : i + 1], at[end[j] : end[j] + 1]))[0])
+                p = int(self.probe(*prefix, at[i : i + 1], at[end[j] : end[j] + 1])[0])
                 if p >= 0:
                     heapq.heappush(heap, (-self.scores[p], i, end[j], p))
 
@@ -258,7 +267,7 @@ class Model:
         end = np.append(edge[1:], len(data))
         if not len(edge):
             return np.zeros(0, np.int32), np.zeros(len(off) - 1, np.int64)
-        flat, count = cache.lookup(data, edge, end, span_hash(prefix_hash(data), edge, end))
+        flat, count = cache.lookup(data, edge, end)
         return flat, np.bincount(row_of(per), weights=count, minlength=len(per)).astype(np.int64)
 
     def _normal(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -337,7 +346,9 @@ def token_digests(docs: DataFrame, model_path: str) -> DataFrame:
                 end = np.cumsum(counts)
                 raw = flat.astype("<u4").tobytes()
                 same = np.diff(at) == np.diff(off)
-                same &= span_hash(prefix_hash(text), at[:-1], at[1:]) == span_hash(prefix_hash(data), off[:-1], off[1:])
+                size = np.diff(off)[same]
+                other = take_ragged(text, at[:-1][same], size) != take_ragged(data, off[:-1][same], size)
+                same[same] = sums(other, np.concatenate([[0], np.cumsum(size)])) == 0
                 yield batch_of(_DIGEST, doc_id=batch.column("doc_id").slice(i, j - i), n_tokens=counts, ids_crc32=[zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip((end - counts).tolist(), end.tolist())], n_decoded_bytes=np.diff(at), round_trip=same)
 
     return docs.select("doc_id", "text").mapInArrow(run, _DIGEST_DDL)

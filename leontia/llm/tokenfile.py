@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leontia.llm.common import WordCache, batch_of, chunks, cut, prefix_hash, row_of, span_hash, word_spans
+from leontia.llm.common import WordCache, batch_of, chunks, cut, row_of, word_spans
 
 MAGIC, SAMPLE, SHARD_IDS = b"LEFT0001", 64, 1 << 20
 _CACHES: dict[str, WordCache] = {}
@@ -51,7 +51,7 @@ def _cache(path: str) -> WordCache:
 def encode_rows(cache: WordCache, data: np.ndarray, off: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """(flat ids, ids per text), the end id after each text."""
     start, end, words = word_spans(data, off)
-    flat, count = cache.lookup(data, start, end, span_hash(prefix_hash(data), start, end))
+    flat, count = cache.lookup(data, start, end)
     per_row = np.bincount(row_of(words), weights=count, minlength=len(words)).astype(np.int64) if len(words) else np.zeros(0, np.int64)
     return np.insert(flat, np.cumsum(per_row), end_id), per_row + 1
 

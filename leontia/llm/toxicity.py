@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leontia.llm.common import WordCache, batch_of, chunks, cut, prefix_hash, row_of, shingle_hashes, span_hash, word_hashes
+from leontia.llm.common import WordCache, batch_of, chunks, cut, row_of, shingle_hashes, word_hashes
 
 MAX_LABELLED, MAX_CANDIDATES, MAX_TERMS = 8000, 20000, 256
 EDITS, FUZZY_FROM, MAX_LEN, WINDOW = 1, 5, 32, 12
@@ -195,7 +195,7 @@ class Toxicity:
         if not len(start):
             none = np.zeros(0, np.int64)
             return none, none, none, none, np.zeros(0), counts
-        codes, found = self._cache().lookup(data, start, end, span_hash(prefix_hash(data), start, end))
+        codes, found = self._cache().lookup(data, start, end)
         place = np.flatnonzero(found)
         term, edits = (codes - 1) // 2 - 1, (codes - 1) % 2
         row, at = row_of(counts)[place], place - (np.cumsum(counts) - counts)[row_of(counts)[place]]

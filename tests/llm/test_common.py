@@ -14,8 +14,46 @@ def test_likely_in_loses_nothing(spark):
 
 def test_spans_hash_alike_wherever_they_stand():
     data = np.frombuffer(b"abcabcxabc", np.uint8)
-    h = common.span_hash(common.prefix_hash(data), np.array([0, 3, 7, 1]), np.array([3, 6, 10, 4]))
+    h = common.span_hash(common.eights(data), np.array([0, 3, 7, 1]), np.array([3, 6, 10, 4]))
     assert h[0] == h[1] == h[2] != h[3]
+    data = np.frombuffer(bytes(range(60)) * 3, np.uint8)
+    for n in (0, 1, 7, 8, 9, 31, 32, 60):
+        h = common.span_hash(common.eights(data), np.array([0, 60, 120, 1]), np.array([n, 60 + n, 120 + n, 1 + n]))
+        assert h[0] == h[1] == h[2] and (h[0] == h[3]) == (n == 0)
+
+
+def test_complementary_words_of_thue_and_morse_differ():
+    for k in (6, 10, 12, 16):
+        bits = [bin(i).count("1") & 1 for i in range(1 << k)]
+        a, b = (bytes(97 + (x ^ y) for x in bits) for y in (0, 1))
+        data = np.frombuffer(a + b, np.uint8)
+        h = common.span_hash(common.eights(data), np.array([0, len(a)]), np.array([len(a), 2 * len(a)]))
+        words, _ = common.word_hashes(np.frombuffer(a + b" " + b, np.uint8), np.array([0, 2 * len(a) + 1]))
+        assert h[0] != h[1] and words[0] != words[1]
+
+
+def test_coded_is_exact():
+    data = np.frombuffer(b"aa b aa  cc b", np.uint8)
+    start, end, _ = common.word_spans(data, np.array([0, len(data)]))
+    codes, distinct = common.coded(data, start, end)
+    assert [distinct[c] for c in codes] == [b"aa", b"b", b"aa", b"cc", b"b"] and len(distinct) == 3
+
+
+def test_word_cache_starts_anew_and_keeps_long_words_out():
+    calls = []
+
+    def encode(words):
+        calls.extend(words)
+        return [len(w) for w in words for _ in range(2)], [2] * len(words)
+
+    cache = common.WordCache(encode, np.int32, limit=3)
+    text = b"a bb " + b"x" * 100 + b" a ccc dddd bb"
+    data = np.frombuffer(text, np.uint8)
+    start, end, _ = common.word_spans(data, np.array([0, len(data)]))
+    for part in (slice(0, 3), slice(2, 5), slice(3, 7), slice(0, 7)):
+        flat, count = cache.lookup(data, start[part], end[part])
+        assert flat.tolist() == [n for n in (end - start)[part].tolist() for _ in range(2)] and count.tolist() == [2] * len(start[part])
+    assert calls.count(b"x" * 100) == 3 and len(cache.index) <= 4
 
 
 def test_shingles_do_not_cross_rows():
