@@ -1,7 +1,8 @@
 """Mixing sources to target weights, with Spark's own functions only.
 
-1. Terms that mark the domains of ``TERM_DOMAINS``, words and stems of words, are mined from all labelled rows
-   by one explode and aggregation.  A naive Bayes classifier over binned statistics of the text, the
+1. Terms that mark the domains of ``TERM_DOMAINS``, words and stems of words, are mined from at most
+   ``MAX_LABELLED`` labelled rows of each domain, those of least hash of the id; rows of one domain that agree
+   in three minwise words are copies and count once.  A naive Bayes classifier over binned statistics of the text, the
    numbers of these terms among them, is fitted on the labelled table by one aggregation; its counts, of
    fixed size, go into the plan.  It gives each document posteriors over the domains: 'toxic', else 'high'
    or 'low' by quality.
@@ -25,19 +26,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leontia.llm.common import cut, likely_in
+from leontia.llm.common import cut
 
 DOMAINS = ("high", "low", "toxic")
 PULL, STEPS, UNROLL, TOLERANCE = 0.002, 80, 4, 1e-4
 WEIGHTS = {"high": 0.7, "low": 0.25, "toxic": 0.05}
-TERM_DOMAINS, STEMS, MAX_TERMS, MAX_CANDIDATES, SURE = ("toxic", "low"), (4, 5, 6, 7), 256, 20000, 20.0
+TERM_DOMAINS, STEMS, MAX_LABELLED, MAX_TERMS, MAX_CANDIDATES, SURE = ("toxic", "low"), (4, 5, 6, 7), 8000, 256, 20000, 20.0
 _LETTER = r"[\p{L}\p{N}]"
 
 
-def _share(text: Column, letters: str) -> Column:
-    return (F.length(text) - F.length(F.translate(text, letters, ""))) / F.greatest(F.length(text), F.lit(1))
-
-
 def _bin(x: Column, edges: list[float]) -> Column:
     return sum((F.when(x > e, 1).otherwise(0) for e in edges), F.lit(0))
 
@@ -58,13 +55,17 @@ def choose_terms(found: list[tuple[str, int, int, float]]) -> list[str]:
 def mine_terms(docs: DataFrame, labels: DataFrame) -> dict[str, list[str]]:
     """Terms at least 8 times as frequent in the labelled rows of a domain as in the others, by domain.
 
-    A word counts once a row, a stem once for each of its words in a row; needed are 1 % of the domain's rows, four at least,
+    At most MAX_TERMS of the MAX_CANDIDATES strongest are kept, and words of 3 to 32 characters.  A word counts once a row, a stem once for each of its words in a row; needed are 1 % of the domain's rows, four at least,
     and more than chance gives among many words (the likelihood ratio statistic reaches ``SURE``).
     """
     known = labels.select("doc_id", domain_of(F.col("quality"), F.col("toxic")).alias("domain")).where("domain IS NOT NULL")
-    rows = likely_in(docs.select("doc_id", "text"), known, ["doc_id"]).join(known, "doc_id")
+    picked = [known.where(F.col("domain") == d).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED) for d in DOMAINS]
+    sample = F.broadcast(reduce(lambda a, b: a.unionByName(b), picked))  # at most MAX_LABELLED ids a domain
     words = F.array_union(F.split(F.lower(F.coalesce("text", F.lit(""))), rf"[^{_LETTER[1:]}+"), F.array(F.lit("")))  # '' counts the rows
-    counts = cut(rows.select("domain", F.explode(words).alias("word")).groupBy("word").agg(*[F.count_if(F.col("domain") == d).alias(d) for d in DOMAINS]))
+    rows = docs.select("doc_id", "text").join(sample, "doc_id").select("domain", words.alias("words"))
+    same = {f"same{i}": F.array_min(F.transform("words", lambda w, i=i: F.xxhash64(w, F.lit(i)))) for i in range(3)}
+    rows = rows.withColumns(same).dropDuplicates(["domain", *same])
+    counts = cut(rows.select("domain", F.explode("words").alias("word")).groupBy("word").agg(*[F.count_if(F.col("domain") == d).alias(d) for d in DOMAINS]))
     totals = counts.where("word = ''").first()
     if totals is None:
         return {d: [] for d in TERM_DOMAINS}
@@ -105,22 +106,28 @@ def pattern(terms: list[str]) -> str:
 
 def statistics(docs: DataFrame, terms: dict[str, list[str]]) -> DataFrame:
     """(doc_id, text_hash, tokens, bins of FEATURES) of every whole text."""
-    t = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.split(t, "\n")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    short = F.regexp_replace(text, "[a-z]{2,}", "a")  # none of the counted characters goes, and no word
+    read = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), text.alias("t"), short.alias("short"), F.split(text, "\n").alias("lines"), F.lower(text).alias("low"))
+    number = lambda c: F.regexp_count("short", F.lit(c))
+    hits = {f"b_terms_{d}": F.regexp_count("low", F.lit(pattern(terms[d]))) if terms.get(d) else F.lit(0) for d in TERM_DOMAINS}
+    counted = read.select(
+        "doc_id", "text_hash", F.octet_length("t").alias("bytes"), F.length("t").alias("chars"), F.size("lines").alias("n_lines"), F.size(F.array_distinct("lines")).alias("n_own"),
+        number("[#*$%&|<>]").alias("symbols"), number("[A-Z]").alias("upper"), number("[0-9]").alias("digits"), number("[!?]").alias("shouts"), number("[ \n]").alias("spaces"), number(r"\S+").cast("long").alias("tokens"), *[h.alias(n) for n, h in hits.items()],
+    )
+    chars = F.greatest("chars", F.lit(1))
     bins = {
-        "b_length": F.floor(F.log2(F.octet_length(t) + 1.0)).cast("int"),
-        "b_symbol": _bin(_share(t, "#*$%&|<>"), [0, 0.005, 0.03, 0.1]),
-        "b_upper": _bin(_share(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), [0.02, 0.05, 0.2, 0.6]),
-        "b_digit": _bin(_share(t, "0123456789"), [0, 0.005, 0.02, 0.1]),
-        "b_shout": _bin(_share(t, "!?"), [0, 0.005, 0.03]),
-        "b_break": _bin(_share(t, "\n"), [0, 0.005, 0.02]),
-        "b_word": _bin(F.length(t) / F.greatest(F.length(t) - F.length(F.translate(t, " \n", "")), F.lit(1)), [4.5, 5.5, 6.5, 7.5, 9]),
-        "b_lines": _bin(1 - F.size(F.array_distinct(lines)) / F.size(lines), [0, 0.1, 0.3, 0.6]),
+        "b_length": F.floor(F.log2(F.col("bytes") + 1.0)).cast("int"),
+        "b_symbol": _bin(F.col("symbols") / chars, [0, 0.005, 0.03, 0.1]),
+        "b_upper": _bin(F.col("upper") / chars, [0.02, 0.05, 0.2, 0.6]),
+        "b_digit": _bin(F.col("digits") / chars, [0, 0.005, 0.02, 0.1]),
+        "b_shout": _bin(F.col("shouts") / chars, [0, 0.005, 0.03]),
+        "b_break": _bin((F.col("n_lines") - 1) / chars, [0, 0.005, 0.02]),
+        "b_word": _bin(F.col("chars") / F.greatest("spaces", F.lit(1)), [4.5, 5.5, 6.5, 7.5, 9]),
+        "b_lines": _bin(1 - F.col("n_own") / F.col("n_lines"), [0, 0.1, 0.3, 0.6]),
+        **{n: F.least(n, F.lit(3)).cast("int") for n in hits},
     }
-    for d in TERM_DOMAINS:
-        hits = F.regexp_count(F.lower(t), F.lit(pattern(terms[d]))) if terms.get(d) else F.lit(0)
-        bins[f"b_terms_{d}"] = F.least(hits, F.lit(3)).cast("int")
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.regexp_count(t, F.lit(r"\S+")).cast("long").alias("tokens"), *[c.alias(n) for n, c in bins.items()])
+    return counted.select("doc_id", "text_hash", "tokens", *[c.alias(n) for n, c in bins.items()])
 
 
 def domain_of(quality: Column, toxic: Column) -> Column:
@@ -144,19 +151,20 @@ def fit_classifier(stats: DataFrame, labels: DataFrame) -> dict[tuple[str, str,
     return out
 
 
-def posteriors(model: dict) -> list[Column]:
-    """P(domain | bins) for each of DOMAINS; bins never seen with a label say nothing."""
-    score = []
+def with_posteriors(cells: DataFrame, model: dict) -> DataFrame:
+    """Adds p_<domain>, P(domain | bins); bins never seen with a label say nothing.  A step a column, so that no expression is repeated."""
     for d in DOMAINS:
         parts = [F.lit(model[d, "", 0])]
         for f in FEATURES:
             known = {b: v for (dd, ff, b), v in model.items() if dd == d and ff == f}
             if known:
-                parts.append(F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for b, v in known.items() for x in (b, v)]), F.col(f)), F.lit(0.0)))
-        score.append(reduce(lambda a, b: a + b, parts))
-    top = F.greatest(*score)
-    weight = [F.exp(s - top) for s in score]
-    return [w / reduce(lambda a, b: a + b, weight) for w in weight]
+                table = F.array(*[F.lit(known.get(b, 0.0)) for b in range(max(known) + 1)])
+                parts.append(F.coalesce(F.get(table, F.col(f)), F.lit(0.0)))
+        cells = cells.withColumn(f"p_{d}", reduce(lambda a, b: a + b, parts))
+    cells = cells.withColumn("top", F.greatest(*[f"p_{d}" for d in DOMAINS]))
+    cells = cells.withColumns({f"p_{d}": F.exp(F.col(f"p_{d}") - F.col("top")) for d in DOMAINS}).drop("top")
+    cells = cells.withColumn("whole", reduce(lambda a, b: a + b, [F.col(f"p_{d}") for d in DOMAINS]))
+    return cells.withColumns({f"p_{d}": F.col(f"p_{d}") / F.col("whole") for d in DOMAINS}).drop("whole")
 
 
 def fit_rates(cells: DataFrame, weights: dict[str, float], budget: float, least: float) -> tuple[DataFrame, list[float]]:
@@ -188,20 +196,19 @@ def fit_rates(cells: DataFrame, weights: dict[str, float], budget: float, least:
 
 
 def mix_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, budget: float = 1.0, least: float = 0.0) -> DataFrame:
-    """One row a document: doc_id, text_hash, tokens, posteriors p_<domain>, rate."""
+    """One row a document: doc_id, text_hash, tokens, posteriors p_<domain>, rate, and miss_<domain>: by which share of all tokens the fitted rates miss the domain's target (0 if it is met)."""
     stats = cut(statistics(docs, mine_terms(docs, labels)))
     model = fit_classifier(stats, labels)
-    cells = stats.groupBy(*FEATURES).agg(F.sum("tokens").alias("tokens"))
-    cells = cut(cells.select(*FEATURES, "tokens", *[q.alias(f"p_{d}") for q, d in zip(posteriors(model), DOMAINS)]))
-    rated, _ = fit_rates(cells, weights, budget, least)
+    cells = cut(with_posteriors(stats.groupBy(*FEATURES).agg(F.sum("tokens").alias("tokens")), model))
+    rated, missed = fit_rates(cells, weights, budget, least)
     same = reduce(lambda a, b: a & b, [stats[f] == rated[f] for f in FEATURES])
-    return stats.join(rated, same).select("doc_id", "text_hash", stats["tokens"], *[f"p_{d}" for d in DOMAINS], "rate")
+    return stats.join(rated, same).select("doc_id", "text_hash", stats["tokens"], *[f"p_{d}" for d in DOMAINS], "rate", *[F.lit(round(m, 6)).alias(f"miss_{d}") for d, m in zip(DOMAINS, missed)])
 
 
 def repeat_by_rate(docs: DataFrame, rates: DataFrame) -> DataFrame:
-    """Each document as often as its rate says; the fraction is rounded by a hash of (doc_id, text), so runs agree."""
-    chance = F.pmod(F.xxhash64("doc_id", "mix_hash"), F.lit(1 << 30)) / float(1 << 30)
-    times = F.floor(F.col("mix_rate") + chance).cast("int")
-    rates = rates.select(F.col("doc_id").alias("mix_id"), F.col("text_hash").alias("mix_same"), F.col("rate").alias("mix_rate")).distinct()
-    joined = docs.withColumn("mix_hash", F.xxhash64("text")).join(rates, F.col("doc_id").eqNullSafe(F.col("mix_id")) & (F.col("mix_hash") == F.col("mix_same")))
-    return joined.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)
+    """Each document as often as its rate says; the fraction is rounded by a hash of (doc_id, text), so runs agree.  Null ids match null ids."""
+    rates = rates.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("same"), "rate").distinct()
+    whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("row_id"), F.xxhash64("text").alias("row_hash"))  # one name, so that no column clashes
+    chance = F.pmod(F.xxhash64("row_id", "row_hash"), F.lit(1 << 30)) / float(1 << 30)
+    joined = whole.join(rates, F.col("row_id").eqNullSafe(F.col("id")) & (F.col("row_hash") == F.col("same")))
+    return joined.select("row", F.explode(F.array_repeat(F.lit(1), F.floor(F.col("rate") + chance).cast("int")))).select("row.*")

@@ -76,6 +76,15 @@ def test_repeat_by_rate(spark):
     rates = docs.selectExpr("doc_id", "xxhash64(text) AS text_hash", "CASE doc_id WHEN 1 THEN 2.0D WHEN 2 THEN 0.0D ELSE 1.0D END AS rate")
     assert sorted(r.doc_id for r in mixing.repeat_by_rate(docs, rates).collect()) == [1, 1, 3]
     assert mixing.repeat_by_rate(docs, rates).columns == docs.columns
+    clash = docs.selectExpr("IF(doc_id = 2, NULL, doc_id) AS doc_id", "text", "1 AS rate", "2 AS same", "3 AS row", "4 AS id")
+    got = mixing.repeat_by_rate(clash, clash.selectExpr("doc_id", "xxhash64(text) AS text_hash", "2.0D AS rate"))
+    assert got.columns == clash.columns and sorted(r.doc_id or 0 for r in got.collect()) == [0, 0, 1, 1, 3, 3]
+
+
+def test_miss_is_reported(spark, docs):
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    rows = mixing.mix_rates(docs(["grim word " * 9 if i % 2 else "calm talk " * 9 for i in range(40)]), labels, {"high": 1.0}, least=1.0).collect()
+    assert rows[0].miss_toxic > 0.3 and rows[0].miss_high < -0.3  # no rate may fall under 1
 
 
 def test_without_labels_and_empty(spark, docs):
