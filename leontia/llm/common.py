@@ -49,18 +49,40 @@ def cut(df: DataFrame) -> DataFrame:
 _FILTER_BITS, _PAGE = 1 << 24, 1 << 15
 
 
-def likely_in(df: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
+def likely_in(df: DataFrame, keys: DataFrame, columns: list[str], mark: str | None = None) -> DataFrame:
     """The rows of ``df`` whose key may be in ``keys``: none that is gets lost, most others go before a shuffle.
 
-    A bit vector of hashed keys, of fixed size (2 MB), is what is broadcast, however many keys there are.
+    With ``mark``, all rows, and that column says which.  A bit vector of hashed keys, of fixed size (2 MB), is what is
+    broadcast, however many keys there are; beyond some 10^7 keys it lets more and more of the others pass.
     """
     place = F.pmod(F.xxhash64(*columns), F.lit(_FILTER_BITS))
     pages = keys.select(F.floor(place / _PAGE).alias("likely_page"), F.pmod(place, F.lit(_PAGE)).alias("p")).groupBy("likely_page").agg(F.bitmap_construct_agg("p").alias("likely_bits"))
     at = df.withColumn("likely_place", place).withColumn("likely_page", F.floor(F.col("likely_place") / _PAGE))
     byte = F.expr("conv(hex(substring(likely_bits, cast(likely_place % 32768 div 8 as int) + 1, 1)), 16, 10)").cast("int")
     bit = F.expr("cast(likely_place % 8 as int)")
-    found = at.join(F.broadcast(pages), "likely_page").where((F.call_function("shiftright", byte, bit) % 2) == 1)
-    return found.select(*df.columns)
+    hit = F.coalesce((F.call_function("shiftright", byte, bit) % 2) == 1, F.lit(False))
+    found = at.join(F.broadcast(pages), "likely_page", "left")
+    return found.select(*df.columns, hit.alias(mark)) if mark else found.where(hit).select(*df.columns)
+
+
+#: A key with more rows than this is hot; it is dealt to SALTS tasks.
+HOT, SALTS = 10_000, 64
+
+
+def spread_join(df: DataFrame, by: DataFrame, *keys: str, how: str = "inner", times: str | None = None) -> DataFrame:
+    """``df`` joined with ``by``, which has one row a key: the rows of a hot key are spread over ``SALTS`` tasks by a hash of all their columns.
+
+    Which keys are hot says the column ``times`` of ``by``, or a count, with partial sums before the shuffle; both sides look it up
+    in one bit vector, so a key that is only taken for hot is still joined right.
+    """
+    counts = by if times else df.groupBy(*keys).agg(F.count(F.lit(1)).alias("times"))
+    hot = counts.where(F.col(times or "times") > HOT).select(*keys)
+    left = likely_in(df, hot, list(keys), mark="hot")
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64(*df.columns), F.lit(SALTS))).otherwise(0).cast("int")
+    right = likely_in(by, hot, list(keys), mark="hot")
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = right.withColumn("salt", F.explode(salts)).drop("hot")
+    return left.withColumn("salt", salt).drop("hot").join(right, [*keys, "salt"], how).drop("salt")
 
 
 def trim() -> None:

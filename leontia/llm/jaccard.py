@@ -9,13 +9,19 @@ on to their children, down to ``DEPTH``, where a bucket's sets share so many ind
 are taken together as candidates.  ``RUNS`` is chosen from :func:`recall` for the target recall of a pair
 at the threshold; a pair that is missed is still found if both are linked with a third set.
 
-Candidates only decide which texts are brought together: candidate groups are joined with the texts, cut
-into blocks, and every pair of blocks is compared exactly, on the sets themselves.  A pair's links are
-counted where they are found and never written out, so a group of many near copies costs time for its
-pairs but no rows.  Classes are the connected components of exact links.
+Candidates only decide which texts are brought together; links are exact, on the sets themselves:
+
+1. Every set of a group is compared with the group's representative, whose text goes once to each block of
+   the group.  One minus the similarity is a metric, so two sets whose distances to the representative sum to at most 0.2
+   are linked without being compared: sets within half of that are ``tight`` and link one another, a
+   count for the whole group.  A group of a million close copies costs a million comparisons.
+2. The pairs with a set that is not tight are compared in blocks of about ``BLOCK_BYTES`` of text; a pair's links
+   are counted where they are found and never written out.
+
+Classes are the connected components of exact links.
 
 Cases: a null text counts as empty; a null doc_id is in no class; a text without words is a class by itself without links; repeated rows and
-equal texts are links of each other; an empty table gives an empty result; very long texts are whole sets.
+equal texts are links of each other; rows that share a doc_id but not their text are judged each by its text; an empty table gives an empty result; very long texts are whole sets.
 """
 
 from __future__ import annotations
@@ -28,11 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leontia.llm.common import batch_of, chunks, counter_hash, cut, likely_in, mix, row_of, shingle_hashes, trim, word_hashes
+from leontia.llm.common import batch_of, chunks, counter_hash, cut, likely_in, mix, row_of, shingle_hashes, spread_join, trim, word_hashes
 from leontia.llm.graph import components
 
 SHINGLE, THRESHOLD = 5, 0.8
-SKETCH, BRANCH, DEPTH, BUCKET, BLOCK, TARGET = 64, 1.6, 4, 24, 128, 0.99
+SKETCH, BRANCH, DEPTH, BUCKET, TARGET = 64, 1.6, 4, 24, 0.99
+BLOCK, BLOCK_BYTES = 1024, 1 << 20  # the most sets of a block in expectation, and the text they hold
 #: Sketches of two sets at the threshold agree in fewer than this share of tokens with probability under 1e-4.
 SKETCH_LEAST = 0.58
 
@@ -82,7 +89,7 @@ def set_hashes(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nd
     return low[at[1:]] - low[at[:-1]], high[at[1:]] - high[at[:-1]], size
 
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
+_SETS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("n", pa.int64()), ("bytes", pa.int64()), ("sketch", pa.binary())])
 
 
 def set_table(docs: DataFrame) -> DataFrame:
@@ -93,9 +100,9 @@ def set_table(docs: DataFrame) -> DataFrame:
                 grams, n = shingle_hashes(words, counts, SHINGLE)
                 low, high, size = set_hashes(grams, n)
                 sk = sketches(grams, n)
-                yield batch_of(_SETS, doc_id=batch.column("doc_id").slice(i, j - i), text_hash=batch.column("text_hash").slice(i, j - i), low=low.view(np.int64), high=high.view(np.int64), n=size, sketch=[s.tobytes() for s in sk])
+                yield batch_of(_SETS, doc_id=batch.column("doc_id").slice(i, j - i), text_hash=batch.column("text_hash").slice(i, j - i), low=low.view(np.int64), high=high.view(np.int64), n=size, bytes=np.diff(off), sketch=[s.tobytes() for s in sk])
 
-    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, low long, high long, n long, sketch binary")
+    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, "doc_id long, text_hash long, low long, high long, n long, bytes long, sketch binary")
 
 
 # ---- the recursion
@@ -189,7 +196,7 @@ def candidate_edges(sets: DataFrame) -> DataFrame:
     found = []
     for depth in range(1, DEPTH + 1):
         size = entries.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("least")).where("size > 1")
-        entries = cut(entries.join(size, "path"))
+        entries = cut(spread_join(entries, size, "path", times="size"))
         if depth == 1:  # most sets have met none
             sets = cut(likely_in(sets, entries, ["id"]))
         small = entries.where(F.col("size") <= BUCKET).join(sets, "id")
@@ -208,34 +215,59 @@ def candidate_edges(sets: DataFrame) -> DataFrame:
 # ---- exact comparison
 
 
+def _coded_sets(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, number of a shingle that several rows hold) of each member of the rows' sets, and the sets' sizes."""
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["text"])
+    parts = [shingle_hashes(*word_hashes(data, off), SHINGLE) for _, _, data, off in chunks(batch)]
+    grams, counts = (np.concatenate(x) for x in zip(*parts))
+    row = row_of(counts)
+    shared, code = np.unique(grams, return_inverse=True)
+    pair = np.unique(row * len(shared) + code)
+    row, code = pair // len(shared), pair % len(shared)
+    size = np.bincount(row, minlength=len(counts))
+    keep = np.bincount(code, minlength=len(shared))[code] > 1
+    row, code = row[keep], code[keep]
+    return row, np.unique(code, return_inverse=True)[1], size
+
+
+def _groups(keys: np.ndarray) -> list[tuple[int, int]]:
+    edges = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True]).tolist()
+    return list(zip(edges[:-1], edges[1:]))
+
+
+def _near(f: pd.DataFrame) -> pd.DataFrame:
+    """(id, group, shared, either) of the sets of (group, block) keys: members in common with the representative, which each key has, and in either."""
+    out = []
+    for s, e in _groups(f["key"].to_numpy()):
+        row, code, size = _coded_sets(f["text"].iloc[s:e])
+        own = f["is_rep"].to_numpy()[s:e]
+        rep = int(np.flatnonzero(own)[0])
+        held = np.zeros(int(code.max()) + 1 if len(code) else 1, bool)
+        held[code[row == rep]] = True
+        shared = np.bincount(row[held[code]], minlength=e - s)
+        shared[own] = size[rep]
+        part = f.iloc[s:e]
+        out.append(pd.DataFrame({"id": part["id"], "group": part["group"], "shared": shared, "either": size + size[rep] - shared})[~own])
+    return pd.concat(out, ignore_index=True) if out else None
+
+
 def _exact_links(f: pd.DataFrame) -> pd.DataFrame:
-    """Links of the sets of one or more (group, block, block) keys: a row for each linked set with their number, and rows that span the components."""
+    """Links of the sets of one or more (group, block, block) keys, but of pairs of tight sets: a row for each linked set with their number, and rows that span the components."""
     out = []
-    keys = f["key"].to_numpy()
-    edges = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
-    ids, weight, side = f["id"].to_numpy(), f["weight"].to_numpy(), f["side"].to_numpy()
-    for s, e in zip(edges[:-1].tolist(), edges[1:].tolist()):
-        batch = pa.RecordBatch.from_arrays([pa.array(f["text"].iloc[s:e], pa.large_string())], ["text"])
-        parts = [shingle_hashes(*word_hashes(data, off), SHINGLE) for _, _, data, off in chunks(batch)]
-        grams, counts = (np.concatenate(x) for x in zip(*parts))
-        row = row_of(counts)
-        shared, code = np.unique(grams, return_inverse=True)
-        pair = np.unique(row * len(shared) + code)
-        row, code = pair // len(shared), pair % len(shared)
-        size = np.bincount(row, minlength=e - s)
-        keep = np.bincount(code, minlength=len(shared))[code] > 1
-        row, code = row[keep], code[keep]
-        _, code = np.unique(code, return_inverse=True)
+    ids, weight, side, tight = (f[c].to_numpy() for c in ("id", "weight", "side", "tight"))
+    for s, e in _groups(f["key"].to_numpy()):
+        row, code, size = _coded_sets(f["text"].iloc[s:e])
         inter = np.zeros((e - s, e - s), np.float32)
         for lo in range(0, int(code.max()) + 1 if len(code) else 0, 8192):
             part = (code >= lo) & (code < lo + 8192)
-            m = np.zeros((e - s, 8192), np.float32)
+            m = np.zeros((e - s, min(8192, int(code.max()) + 1 - lo)), np.float32)
             m[row[part], code[part] - lo] = 1
             inter += m @ m.T
         linked = inter >= THRESHOLD * (size[:, None] + size[None] - inter) - 1e-4
         np.fill_diagonal(linked, False)
-        own = side[s:e]
+        own, close = side[s:e], tight[s:e]
         linked &= (own[:, None] == 2) | (own[:, None] != own[None])  # side 2: a block with itself
+        linked &= ~(close[:, None] & close[None])
         some = np.flatnonzero(linked.any(axis=1))
         if len(some):
             out.append(pd.DataFrame({"id": ids[s:e][some], "links": (linked[some] * weight[s:e][None]).sum(axis=1).astype(np.int64), "partner": ids[s:e][some]}))
@@ -261,39 +293,74 @@ def _forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, root[at]
 
 
-def similar_documents(docs: DataFrame) -> DataFrame:
-    """One row a document: doc_id, class_id (the least doc_id of its class), n_links (documents at least THRESHOLD similar), n_equal (documents with the same set, itself included)."""
+def _tight_sets(base: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, tight) of the members (id, group, block, blocks, doc_id, text_hash) of groups: whether a set's distance to its representative is at most half of the threshold's."""
+    reps = members.where(F.col("id") == F.col("rep_id")).select("doc_id", "text_hash", F.col("id").alias("rep"), "group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    texts = base.join(members.select("doc_id", "text_hash", "id", "group", "block"), ["doc_id", "text_hash"]).dropDuplicates(["id"])
+    copies = base.join(reps, ["doc_id", "text_hash"]).dropDuplicates(["rep", "block"])
+    dealt = texts.select("id", "group", "block", "text", F.lit(False).alias("is_rep")).unionByName(copies.select(F.col("rep").alias("id"), "group", "block", "text", F.lit(True).alias("is_rep")))
+    dealt = dealt.select("id", "group", "text", "is_rep", F.xxhash64("group", "block").alias("key"))
+    near = by_group(dealt, "key", 64, _near, "id long, group long, shared long, either long")
+    half = (1 + THRESHOLD) / 2
+    return near.select("id", (F.col("shared") >= F.col("either") * half + 1e-9 * F.col("either")).alias("tight"))
+
+
+def _judged(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, root (the set id that stands for the class; null for rows of no class), class_id, n_links and n_equal of each row."""
     base = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     table = cut(set_table(base))
-    classes = table.where("n > 0 AND doc_id IS NOT NULL").groupBy("low", "high", "n").agg(F.count(F.lit(1)).alias("weight"), F.min(F.struct("doc_id", "text_hash", "sketch")).alias("first"))
-    classes = cut(classes.select("low", "high", "n", "weight", F.xxhash64("low", "high", "n").alias("id"), F.col("first.doc_id").alias("rep"), "first.text_hash", "first.sketch"))
-    sets = classes.select("id", "sketch")
-    groups = components(candidate_edges(sets)).select(F.col("node").alias("id"), F.col("root").alias("group"))
-    sizes = groups.groupBy("group").agg(F.count(F.lit(1)).alias("members"))
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    groups = groups.join(sizes, "group").select("id", "group", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    members = cut(groups.join(classes.select("id", F.col("rep").alias("doc_id"), "text_hash", "weight"), "id"))
-    texts = likely_in(base, members, ["doc_id", "text_hash"]).join(members, ["doc_id", "text_hash"]).dropDuplicates(["id"])
-    other = F.sequence(F.lit(0), F.col("blocks") - 1)
-    dealt = texts.select("id", "weight", "text", "group", "block", F.explode(other).alias("other"))
+    classes = table.where("n > 0 AND doc_id IS NOT NULL").groupBy("low", "high", "n").agg(F.count(F.lit(1)).alias("weight"), F.min(F.struct("doc_id", "text_hash", "bytes", "sketch")).alias("first"))
+    classes = cut(classes.select("low", "high", "n", "weight", F.xxhash64("low", "high", "n").alias("id"), F.col("first.doc_id").alias("rep"), "first.text_hash", "first.bytes", "first.sketch"))
+    groups = components(candidate_edges(classes.select("id", "sketch"))).select(F.col("node").alias("id"), F.col("root").alias("group"))
+    found = cut(groups.join(classes.select("id", F.col("rep").alias("doc_id"), "text_hash", "weight", "bytes"), "id"))
+    sizes = found.groupBy("group").agg(F.count(F.lit(1)).alias("members"), F.sum("bytes").alias("bytes"), F.min("id").alias("rep_id"))
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    sizes = sizes.select("group", "rep_id", "members", F.least(blocks, F.col("members")).cast("int").alias("blocks"))
+    members = cut(spread_join(found.drop("bytes"), sizes, "group", times="members").drop("members").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
+    texts = cut(likely_in(base, members, ["doc_id", "text_hash"]).join(members.select("doc_id", "text_hash").distinct(), ["doc_id", "text_hash"], "left_semi"))
+    members = cut(members.join(_tight_sets(texts, members), "id"))
+    # Tight sets link one another: counted by group, and joined to their representative.
+    tight = members.where("tight").groupBy("group").agg(F.sum("weight").alias("close"))
+    counted = spread_join(members.where("tight"), tight, "group").select("id", (F.col("close") - F.col("weight")).alias("links"), F.col("rep_id").alias("partner"))
+    # Pairs with a set that is not: blocks that hold one meet all blocks of the group.
+    loose = members.where("NOT tight").groupBy("group").agg(F.collect_set("block").alias("loose"))
+    dealt = spread_join(members, loose, "group").withColumn("all", F.sequence(F.lit(0), F.col("blocks") - 1))
+    others = F.when(F.array_contains("loose", F.col("block")), F.col("all")).otherwise(F.col("loose"))
+    dealt = texts.join(dealt.select("id", "doc_id", "text_hash", "weight", "tight", "group", "block", others.alias("others")), ["doc_id", "text_hash"]).dropDuplicates(["id"])
+    dealt = dealt.select("id", "weight", "tight", "text", "group", "block", F.explode("others").alias("other"))
     side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
     key = F.xxhash64("group", F.least("block", "other"), F.greatest("block", "other"))
-    dealt = dealt.select("id", "weight", "text", key.alias("key"), side.alias("side"))
-    links = cut(by_group(dealt, "key", 64, _exact_links, "id long, links long, partner long"))
-    found = links.groupBy("id").agg(F.sum("links").alias("links"))
+    dealt = dealt.select("id", "weight", "tight", "text", key.alias("key"), side.alias("side"))
+    links = cut(counted.unionByName(by_group(dealt, "key", 64, _exact_links, "id long, links long, partner long")))
+    totals = links.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(links.select(F.col("id").alias("a"), F.col("partner").alias("b"))).select(F.col("node").alias("id"), "root")
     reps = classes.select("id", "low", "high", "n", "weight", "rep").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = reps.groupBy("root").agg(F.min("rep").alias("class_id"))
-    reps = reps.join(least, "root").join(found, "id", "left")
-    return table.join(reps.select("low", "high", "n", "weight", "class_id", "links"), ["low", "high", "n"], "left").select(
+    reps = cut(spread_join(reps, least, "root").join(totals, "id", "left"))
+    return spread_join(table, reps.select("low", "high", "n", "root", "weight", "class_id", "links"), "low", "high", "n", how="left", times="weight").select(
         "doc_id",
-        F.coalesce("class_id", "doc_id").alias("class_id"),
-        (F.coalesce("links", F.lit(0)) + F.coalesce("weight", F.lit(1)) - 1).cast("long").alias("n_links"),
-        F.coalesce("weight", F.lit(1)).cast("long").alias("n_equal"),
+        "text_hash",
+        F.when(F.col("doc_id").isNotNull(), F.col("root")).alias("root"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"),
+        F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce("links", F.lit(0)) + F.coalesce("weight", F.lit(1)) - 1).cast("long").alias("n_links"),
+        F.when(F.col("doc_id").isNull(), 1).otherwise(F.coalesce("weight", F.lit(1))).cast("long").alias("n_equal"),
     )
 
 
+def similar_documents(docs: DataFrame) -> DataFrame:
+    """One row a document: doc_id, class_id (the least doc_id of its class), n_links (documents at least THRESHOLD similar), n_equal (documents with the same set, itself included)."""
+    return _judged(docs).drop("text_hash", "root")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without the near copies: of each class, the rows of its least doc_id."""
-    gone = similar_documents(docs).where("class_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The documents without the near copies: of each class one row, of its least (doc_id, hash of the text).  Rows of no class (null ids, texts without words) all stay."""
+    rows = cut(_judged(docs).where("root IS NOT NULL").select("doc_id", "text_hash", "root").groupBy("doc_id", "text_hash", "root").agg(F.count(F.lit(1)).alias("times")))
+    first = rows.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select("k.*")
+    gone = cut(rows.join(first, ["doc_id", "text_hash"], "left_anti").select("doc_id", "text_hash"))
+    twice = rows.where("times > 1").select("doc_id", "text_hash").unionByName(gone)
+    keyed = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    in_class = F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    marked = likely_in(keyed.withColumn("in_class", in_class), twice, ["doc_id", "text_hash"], mark="likely").drop("text")
+    asked = F.col("likely") & F.col("in_class")
+    some = marked.where(asked).dropDuplicates(["doc_id", "text_hash"]).join(gone, ["doc_id", "text_hash"], "left_anti")
+    return marked.where(~asked).select("row.*").unionByName(some.select("row.*"))

@@ -61,3 +61,23 @@ def test_components(spark):
 def test_empty_and_single(docs):
     assert jaccard.similar_documents(docs([])).count() == 0
     assert [tuple(r) for r in jaccard.similar_documents(docs(["only one"])).collect()] == [(0, 0, 0, 1)]
+
+
+def test_keep_one_keeps_unlike_texts_and_one_of_equal_rows(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta", "one two three four five six seven", "red green blue white black grey")
+    rows = [(1, a), (5, a), (5, b), (5, b), (7, c), (None, a), (None, a), (9, " "), (9, " "), (10, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS row", "2 AS hot", "3 AS salt", "4 AS likely", "5 AS root")
+    kept = jaccard.keep_one(df)
+    assert kept.columns == df.columns
+    key = lambda x: (x[0] or 0, x[1] or "")
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=key) == sorted([(1, a), (5, b), (7, c), (None, a), (None, a), (9, " "), (9, " "), (10, None)], key=key)
+
+
+def test_spread_join(spark, monkeypatch):
+    from leontia.llm import common
+
+    monkeypatch.setattr(common, "HOT", 20)
+    df = spark.range(500).selectExpr("IF(id < 300, 1, id % 40) AS k", "id")
+    by = spark.range(30).selectExpr("id AS k", "id * 2 AS v")
+    assert sorted(common.spread_join(df, by, "k").collect()) == sorted(df.join(by, "k").collect())
+    assert common.spread_join(df, by, "k", how="left").count() == 500
