@@ -3,7 +3,8 @@
 A shard holds consecutive documents in ascending ``doc_id``: one concatenated id array, and two
 non-decreasing sequences, the documents' end offsets and their ids less the first, each Elias-Fano coded:
 the low bits packed, the high parts as a bit vector with a one for each element, and the place of every
-``SAMPLE``-th one.  :func:`select` reads single offsets from that; no table of 64-bit offsets is stored.
+``SAMPLE``-th one.  :meth:`EliasFano.select` reads offsets from that, many at once; no table of 64-bit offsets is stored,
+and the reader makes none: it selects the offsets of ``READ`` documents at a time.
 
 Texts are encoded once per distinct piece between ASCII white space, by the tokenizers library; the
 tokenizer drops white space and none of its pieces crosses it, so the concatenation is what the library
@@ -11,7 +12,7 @@ gives for the whole text.  Shards are rows of a Parquet table in the shared fold
 Spark writes will do, and a lost task is written again.
 
 Cases: a null or empty text has the end id alone; repeated ids and rows are kept, each with its own
-boundaries; an empty table writes no shard; a shard is closed after ``SHARD_IDS`` ids, so a very long
+boundaries; rows with a null doc_id come first, in shards of their own that say so, and are read back with null ids; an empty table writes no shard; a shard is closed after ``SHARD_IDS`` ids, so a very long
 text makes a longer shard but is never cut.
 """
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from leontia.llm.common import WordCache, batch_of, chunks, cut, row_of, word_spans
 
-MAGIC, SAMPLE, SHARD_IDS = b"LEFT0001", 64, 1 << 20
+MAGIC, SAMPLE, SHARD_IDS, READ = b"LEFT0002", 64, 1 << 20, 4096
 _CACHES: dict[str, WordCache] = {}
 
 
@@ -87,44 +88,54 @@ class EliasFano:
         bit = (self.lows[at >> 3] >> (at & 7).astype(np.uint8)) & 1 if self.low else np.zeros((len(i), 0), np.uint8)
         return (bit.astype(np.uint64) << np.arange(self.low, dtype=np.uint64)).sum(axis=1, dtype=np.uint64).astype(np.int64)
 
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.highs, bitorder="little"))[: self.n]
-        i = np.arange(self.n)
-        return ((ones - i) << self.low) | self._low(i)
-
-    def select(self, i: int) -> int:
-        """Element i, from the nearest sampled one and the bits after it."""
-        at, left = int(self.marks[i // SAMPLE]), i % SAMPLE
-        byte, drop = at >> 3, at & 7
-        while True:
-            ones = np.flatnonzero(np.unpackbits(self.highs[byte : byte + 32], bitorder="little")[drop:])
-            if left < len(ones):
-                return ((byte * 8 + drop + int(ones[left]) - i) << self.low) | int(self._low(np.array([i]))[0])
-            left, byte, drop = left - len(ones), byte + 32, 0
-
-
-def pack(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
-    """One shard; doc_ids must ascend."""
+    def select(self, i: np.ndarray) -> np.ndarray:
+        """The elements at the places ``i``, which ascend: from the nearest sampled one before each, and the bits between."""
+        if not len(i):
+            return np.zeros(0, np.int64)
+        first = int(i[0]) // SAMPLE
+        byte = int(self.marks[first]) >> 3
+        stop = int(i[-1]) // SAMPLE + 1
+        end = (int(self.marks[stop]) >> 3) + 1 if stop < len(self.marks) else len(self.highs)
+        ones = np.flatnonzero(np.unpackbits(self.highs[byte:end], bitorder="little")) + 8 * byte
+        skip = int(np.searchsorted(ones, self.marks[first]))
+        return ((ones[skip + i - first * SAMPLE] - i) << self.low) | self._low(i)
+
+
+def pack(doc_ids: np.ndarray | None, counts: np.ndarray, ids: np.ndarray) -> bytes:
+    """One shard; doc_ids must ascend, None for documents without ids."""
     body = ids.astype("<u2" if ids.dtype == np.uint16 else "<u4")
-    parts = [ef_encode(np.cumsum(counts)), ef_encode(doc_ids - doc_ids[0])]
-    return MAGIC + struct.pack("<BqQ", body.dtype.itemsize, int(doc_ids[0]), len(body)) + b"".join(parts) + body.tobytes()
+    named, first = doc_ids is not None, 0 if doc_ids is None else int(doc_ids[0])
+    names = (doc_ids.astype(np.uint64) - doc_ids[:1].astype(np.uint64)) if named else np.zeros(0, np.uint64)  # differences of 64-bit ids fit unsigned
+    return MAGIC + struct.pack("<BBqQ", body.dtype.itemsize, named, first, len(body)) + ef_encode(np.cumsum(counts)) + ef_encode(names) + body.tobytes()
 
 
 class Shard:
-    """A shard as read: ``doc_ids`` and ``ends`` are Elias-Fano, ``ids`` the id array."""
+    """A shard as read: ``docs`` and ``ends`` are Elias-Fano, ``ids`` the id array."""
 
     def __init__(self, raw: bytes):
         if raw[:8] != MAGIC:
             raise ValueError("not a token shard")
-        width, self.first, n = struct.unpack_from("<BqQ", raw, 8)
-        view = memoryview(raw)[8 + struct.calcsize("<BqQ") :]
+        width, self.named, self.first, n = struct.unpack_from("<BBqQ", raw, 8)
+        view = memoryview(raw)[8 + struct.calcsize("<BBqQ") :]
         self.ends = EliasFano(view)
         self.docs = EliasFano(view[self.ends.size :])
         self.ids = np.frombuffer(view, "<u2" if width == 2 else "<u4", n, self.ends.size + self.docs.size)
 
+    def bounds(self, lo: int, hi: int) -> np.ndarray:
+        """The offsets where the documents lo to hi - 1 start, and where the last ends."""
+        ends = self.ends.select(np.arange(max(lo - 1, 0), hi))
+        return np.concatenate([[0], ends]) if lo == 0 else ends
+
+    def names(self, lo: int, hi: int) -> pa.Array:
+        """The doc_ids of the documents lo to hi - 1."""
+        if not self.named:
+            return pa.nulls(hi - lo, pa.int64())
+        return pa.array((self.docs.select(np.arange(lo, hi)).astype(np.uint64) + np.int64(self.first).astype(np.uint64)).astype(np.int64))
+
     def document(self, i: int) -> np.ndarray:
         """The ids of the i-th document."""
-        return self.ids[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
+        start, end = self.bounds(i, i + 1)
+        return self.ids[start:end]
 
 
 _SHARD_DDL = "part int, chunk int, first_doc long, n_ids long, payload binary"
@@ -139,25 +150,28 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     def run(batches):
         cache, part, chunk = _cache(tokenizer), TaskContext.get().partitionId(), 0
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        size = 0
+        size, named = 0, False
 
         def close():
             doc_ids, counts, ids = (np.concatenate(x) for x in zip(*held))
-            return batch_of(_SHARD, part=[part], chunk=[chunk], first_doc=[int(doc_ids[0])], n_ids=[len(ids)], payload=[pack(doc_ids, counts, ids)])
-
-        for batch in batches:
-            doc_ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for i, j, data, off in chunks(batch):
-                ids, counts = encode_rows(cache, data, off, end_id)
-                held.append((doc_ids[i:j], counts, ids))
-                size += len(ids)
-                if size >= SHARD_IDS:
-                    yield close()
-                    held, size, chunk = [], 0, chunk + 1
+            return batch_of(_SHARD, part=[part], chunk=[chunk], first_doc=[int(doc_ids[0]) if named else None], n_ids=[len(ids)], payload=[pack(doc_ids if named else None, counts, ids)])
+
+        for whole in batches:
+            nulls = whole.column("doc_id").null_count  # they come first
+            for batch in (whole.slice(0, nulls), whole.slice(nulls)):
+                doc_ids = batch.column("doc_id").fill_null(0).to_numpy()
+                for i, j, data, off in chunks(batch):
+                    if held and (size >= SHARD_IDS or named != (batch.column("doc_id").null_count == 0)):
+                        yield close()
+                        held, size, chunk = [], 0, chunk + 1
+                    named = batch.column("doc_id").null_count == 0
+                    ids, counts = encode_rows(cache, data, off, end_id)
+                    held.append((doc_ids[i:j], counts, ids))
+                    size += len(ids)
         if held:
             yield close()
 
-    dealt = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    dealt = docs.select("doc_id", "text").repartitionByRange(F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"))
     return cut(dealt.mapInArrow(run, _SHARD_DDL))
 
 
@@ -168,16 +182,18 @@ def read_shards(shards: DataFrame) -> DataFrame:
         for batch in batches:
             for part, chunk, raw in zip(*(batch.column(c).to_pylist() for c in ("part", "chunk", "payload"))):
                 shard = Shard(raw)
-                ends = shard.ends.all()
-                starts = np.concatenate([[0], ends[:-1]])
-                wide = shard.ids.astype("<u4").tobytes()
-                sums = [zlib.crc32(wide[4 * s : 4 * e]) for s, e in zip(starts.tolist(), ends.tolist())]
-                yield batch_of(_READ, doc_id=shard.docs.all() + shard.first, part=[part] * len(ends), chunk=[chunk] * len(ends), at=starts, n_tokens=ends - starts, ids_crc32=sums)
+                for lo in range(0, shard.ends.n, READ):
+                    hi = min(lo + READ, shard.ends.n)
+                    at = shard.bounds(lo, hi)
+                    wide = memoryview(shard.ids[at[0] : at[-1]].astype("<u4").tobytes())
+                    cuts = (4 * (at - at[0])).tolist()
+                    sums = [zlib.crc32(wide[s:e]) for s, e in zip(cuts[:-1], cuts[1:])]
+                    yield batch_of(_READ, doc_id=shard.names(lo, hi), part=[part] * (hi - lo), chunk=[chunk] * (hi - lo), at=at[:-1], n_tokens=np.diff(at), ids_crc32=sums)
 
     sizes = shards.select("part", "chunk", "first_doc", "n_ids")
-    parts = sizes.groupBy("part").agg(F.min("first_doc").alias("first_doc"), F.sum("n_ids").alias("n_ids"))
+    parts = sizes.groupBy("part").agg(F.min_by("first_doc", "chunk").alias("first_doc"), F.sum("n_ids").alias("n_ids"))
     before = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.select("part", before(Window.orderBy("first_doc", "part")).alias("base"))
+    parts = parts.select("part", before(Window.orderBy(F.asc_nulls_first("first_doc"), "part")).alias("base"))
     sizes = sizes.select("part", "chunk", before(Window.partitionBy("part").orderBy("chunk")).alias("skip")).join(parts, "part")
     return (
         shards.select("part", "chunk", "payload")

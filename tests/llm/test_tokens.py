@@ -77,8 +77,10 @@ def test_elias_fano(n):
     values = np.sort(r.integers(0, 50 * n + 1, n))
     raw = tokenfile.ef_encode(values)
     ef = tokenfile.EliasFano(memoryview(raw))
-    assert ef.size == len(raw) and ef.all().tolist() == values.tolist()
-    assert [ef.select(i) for i in range(n)] == values.tolist()
+    assert ef.size == len(raw) and ef.select(np.arange(n)).tolist() == values.tolist()
+    for lo in range(0, n, 37):
+        at = np.arange(lo, min(n, lo + 100))
+        assert ef.select(at).tolist() == values[at].tolist() and ef.select(at[::7]).tolist() == values[at[::7]].tolist()
     assert n < 1000 or len(raw) < 2 * n
 
 
@@ -86,7 +88,34 @@ def test_shard_random_access():
     counts, ids = np.array([1, 5, 1, 700]), np.arange(707, dtype=np.uint16)
     shard = tokenfile.Shard(tokenfile.pack(np.array([3, 3, 9, 1 << 40]), counts, ids))
     assert shard.document(1).tolist() == [1, 2, 3, 4, 5] and len(shard.document(3)) == 700 and shard.document(0).tolist() == [0]
-    assert (shard.docs.all() + shard.first).tolist() == [3, 3, 9, 1 << 40]
+    assert shard.names(0, 4).to_pylist() == [3, 3, 9, 1 << 40] and shard.bounds(1, 3).tolist() == [1, 6, 7]
+    wide = np.array([-(1 << 63), -5, (1 << 63) - 1])
+    shard = tokenfile.Shard(tokenfile.pack(wide, np.array([1, 1, 1]), ids[:3]))
+    assert shard.names(0, 3).to_pylist() == wide.tolist()
+
+
+def test_ids_that_are_null_or_repeated(spark, monkeypatch):
+    monkeypatch.setattr(tokenfile, "READ", 2)
+    rows = [(None, "x y z"), (3, "a b"), (None, "q"), (-7, ""), (3, "a b"), ((1 << 62) + 1, "one two"), (None, None), (3, "c")]
+    out = sorted(tokenfile.token_output(spark.createDataFrame(rows, "doc_id long, text string"), WORDS).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in out] == [None, None, None, -7, 3, 3, 3, (1 << 62) + 1]
+    ends = [r.start + r.n_tokens for r in out]
+    assert [r.start for r in out] == [0, *ends[:-1]]
+    lib = Tokenizer.from_file(WORDS)
+    want = sorted((i is not None, i or 0, zlib.crc32(np.array(lib.encode(t or "", add_special_tokens=False).ids + [2], "<u4").tobytes())) for i, t in rows)
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.ids_crc32) for r in out) == want
+
+
+def test_texts_that_collide_by_polynomials(docs):
+    """Complementary words of Thue and Morse, whose polynomial hashes modulo 2^64 are equal, are told apart."""
+    bits = [bin(i).count("1") & 1 for i in range(2048)]
+    texts = ["".join("ab"[x ^ y] for x in bits) for y in (0, 1)]
+    texts += [" ".join(texts), "\n".join([*texts, texts[0]])]
+    tokens, pieces = Tokenizer.from_file(WORDS), library.SentencePieceProcessor(model_file=PIECES)
+    for r in tokenfile.token_output(docs(texts), WORDS).collect():
+        assert r.ids_crc32 == zlib.crc32(np.array(tokens.encode(texts[r.doc_id], add_special_tokens=False).ids + [2], "<u4").tobytes())
+    for r in sentencepiece.encode_documents(docs(texts), PIECES).collect():
+        assert r.ids == pieces.encode(texts[r.doc_id]) and r.decoded == texts[r.doc_id]
 
 
 def test_empty_tables(docs):
