@@ -2,7 +2,8 @@
 
 A text's UTF-8 bytes are padded with spaces to a positive multiple of ``ROW`` and laid out as red, green
 and blue samples, 64 pixels a row.  A payload of more rows than an image can have takes several files, one
-after another.  :func:`store` writes a table with the files, :func:`load` reads and decodes it.
+after another.  :func:`choose` gives each image the transform, palette or colour cache that makes it smallest by the entropy of
+all its pixels.  :func:`store` writes a table with the files, :func:`load` reads and decodes it.
 
 Cases: null counts as empty, whose payload is one row of spaces; repeated texts give equal files; an empty
 table gives an empty result; very long texts are stored whole.
@@ -35,15 +36,124 @@ def to_payload(pixels: np.ndarray) -> np.ndarray:
     return np.stack([p >> _U(16), p >> _U(8), p], axis=1).astype(np.uint8).ravel()
 
 
+#: Predictors that are tried: left, top and top left.
+PREDICTORS = (1, 2, 4)
+
+
+def _entropy(base: np.ndarray, n: int, *values: np.ndarray) -> np.ndarray:
+    """Bits that one code for the values of each image takes, 5 for each symbol's length included; ``base`` is 256 times the image of each row."""
+    counts = np.zeros(n * 256, np.int64)
+    for v in values:
+        counts += np.bincount((base + v).ravel(), minlength=n * 256)
+    return _code_bits(counts.reshape(n, 256))
+
+
+def _code_bits(counts: np.ndarray) -> np.ndarray:
+    total = counts.sum(axis=1)
+    some = counts[counts > 0].astype(float)
+    row = np.nonzero(counts)[0]
+    spent = np.bincount(row, weights=some * np.log2(some), minlength=len(counts))
+    return total * np.log2(np.maximum(total, 1)) - spent + 5 * (counts > 0).sum(axis=1)
+
+
+def _signed(v: np.ndarray) -> np.ndarray:
+    return v.astype(np.int8).astype(np.int64)
+
+
+def choose(pixels: np.ndarray, height: np.ndarray) -> list[tuple[tuple, int]]:
+    """(transforms, size of the colour cache) of the fewest estimated bits, for images one below another in ``pixels``.
+
+    Weighed over all pixels of each image: none, subtract-green, cross-colour with the multipliers of least squares, the
+    predictors, a palette, and a colour cache for the image's number of colours.
+    """
+    n = len(height)
+    image = np.repeat(np.arange(n), height)
+    base = image[:, None] * 256
+    red, green, blue = ((pixels >> _U(k)).astype(np.uint8) for k in (16, 8, 0))
+    cost = {"plain": _entropy(base, n, red, green, blue), "green": 8 + _entropy(base, n, red - green, green, blue - green)}
+
+    g, size = _signed(green), WIDTH * height
+    part = lambda x: np.bincount(image, weights=x.sum(axis=1), minlength=n)
+    mean_g = part(g) / size
+    scale = np.maximum(part(g * g) / size - mean_g**2, 1e-9)
+    times = [np.clip(np.rint(32 * (part(_signed(c) * g) / size - part(_signed(c)) / size * mean_g) / scale), -128, 127).astype(np.int64) for c in (red, blue)]
+    rest = [(c.astype(np.int64) - (t[image][:, None] * g >> 5)).astype(np.uint8) for c, t in zip((red, blue), times)]
+    cost["cross"] = 120 + _entropy(base, n, rest[0], green, rest[1])
+
+    first = np.zeros(len(pixels), bool)
+    first[np.cumsum(height) - height] = True
+    for mode in PREDICTORS:
+        out = []
+        for c in (red, green, blue):
+            left = np.empty_like(c)
+            left[:, 1:] = c[:, :-1]
+            left[:, 0] = np.where(first, 0, np.roll(c, 1, axis=0)[:, 0])
+            guess = left
+            if mode != 1:
+                up = np.roll(c, 1, axis=0)
+                if mode == 4:
+                    up = np.concatenate([up[:, :1], up[:, :-1]], axis=1)
+                guess = np.where(first[:, None], left, up)
+                guess[:, 0] = left[:, 0]
+            out.append(c - guess)
+        cost[mode] = 80 + _entropy(base, n, *out)
+
+    colour = (pixels & _U(0xFFFFFF)).ravel().astype(np.uint64)
+    of = np.repeat(image, WIDTH).astype(np.uint64)
+    key = np.sort(of << np.uint64(24) | colour)
+    edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+    owner, times_used = (key[edge[:-1]] >> np.uint64(24)).astype(np.int64), np.diff(edge)
+    colours = np.bincount(owner, minlength=n)
+    spent = np.bincount(owner, weights=times_used * np.log2(times_used), minlength=n)
+    cost["palette"] = np.where(colours <= 256, 40 + size * np.log2(size) - spent + 29 * colours, np.inf)
+
+    bits = np.clip(np.ceil(np.log2(np.maximum(colours, 2))), 1, 10).astype(np.int64)
+    slot = ((colour | np.uint64(webp.BLACK)) * np.uint64(webp.CACHE_FACTOR) & np.uint64(0xFFFFFFFF)) >> (32 - bits[of.astype(np.int64)]).astype(np.uint64)
+    place = of << np.uint64(10) | slot
+    turn = np.uint64(len(place).bit_length())
+    order = (np.sort(place << turn | np.arange(len(place), dtype=np.uint64)) & ((np.uint64(1) << turn) - np.uint64(1))).astype(np.int64)
+    hit = np.zeros(len(order), bool)
+    hit[order[1:]] = (place[order[1:]] == place[order[:-1]]) & (colour[order[1:]] == colour[order[:-1]])
+    own = of.astype(np.int64)
+    hits = np.bincount(place[hit].astype(np.int64), minlength=n << 10)
+    who = np.flatnonzero(hits)
+    own = 256 * own[~hit]
+    plain = np.bincount(own + green.ravel()[~hit], minlength=n * 256)
+    known = np.flatnonzero(plain)
+    amount, whose = np.concatenate([hits[who], plain[known]]).astype(float), np.concatenate([who >> 10, known >> 8])
+    main = size * np.log2(size) - np.bincount(whose, weights=amount * np.log2(amount), minlength=n) + 5 * np.bincount(whose, minlength=n)
+    other = sum(np.bincount(own + c.ravel()[~hit], minlength=n * 256) for c in (red, blue))
+    cost["cache"] = main + _code_bits(other.reshape(n, 256)) + 40
+
+    names = list(cost)
+    best = np.argmin(np.stack([cost[k] for k in names]), axis=0)
+    out: list[tuple[tuple, int]] = []
+    for i, k in enumerate(best.tolist()):
+        kind = names[k]
+        if kind == "cache":
+            out.append(((), int(bits[i])))
+        elif kind == "cross":
+            element = webp.BLACK | (int(times[1][i]) & 255) << 8 | int(times[0][i]) & 255
+            out.append(((("cross", np.full((-(-int(height[i]) >> 9), 1), element, _U), 9),), 0))
+        elif kind in PREDICTORS:
+            out.append(((("predictor", np.full((-(-int(height[i]) >> 9), 1), kind), 9),), 0))
+        else:
+            out.append((() if kind == "plain" else ((kind,),), 0))
+    return out
+
+
+def pack_all(payloads: list[np.ndarray]) -> list[bytes]:
+    """The files of each payload."""
+    pixels = [to_pixels(p) for p in payloads]
+    parts = [p[i : i + webp.MAX_SIDE] for p in pixels for i in range(0, len(p), webp.MAX_SIDE)]
+    plans = choose(np.concatenate(parts), np.array([len(p) for p in parts]))
+    files = [webp.encode(p, transforms, cache, least=8) for p, (transforms, cache) in zip(parts, plans)]
+    at = np.cumsum([0, *[-(-len(p) // webp.MAX_SIDE) for p in pixels]]).tolist()
+    return [b"".join(files[s:e]) for s, e in zip(at[:-1], at[1:])]
+
+
 def pack(payload: np.ndarray) -> bytes:
-    """The files of a payload."""
-    pixels = to_pixels(payload)
-    out = []
-    for i in range(0, len(pixels), webp.MAX_SIDE):
-        part = pixels[i : i + webp.MAX_SIDE]
-        few = len(part) > 4 and len(np.unique(part[:8])) <= 64 and len(np.unique(part)) <= 256
-        out.append(webp.encode(part, (("palette",),) if few else (), least=8))
-    return b"".join(out)
+    return pack_all([payload])[0]
 
 
 def unpack(raw: bytes) -> np.ndarray:
@@ -78,12 +188,11 @@ def store(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for i, j, data, off in chunks(batch):
-                media, size = [], np.diff(off)
+                payloads, size = [], np.diff(off)
                 for s, n in zip(off[:-1].tolist(), size.tolist()):
-                    payload = np.full(max(1, -(-n // ROW)) * ROW, 32, np.uint8)
-                    payload[:n] = data[s : s + n]
-                    media.append(pack(payload))
-                yield batch_of(_STORED, doc_id=batch.column("doc_id").slice(i, j - i), n_bytes=size, media=media)
+                    payloads.append(np.full(max(1, -(-n // ROW)) * ROW, 32, np.uint8))
+                    payloads[-1][:n] = data[s : s + n]
+                yield batch_of(_STORED, doc_id=batch.column("doc_id").slice(i, j - i), n_bytes=size, media=pack_all(payloads))
 
     return cut(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary"))
 

@@ -302,6 +302,30 @@ def _read_image(bits: Bits, w: int, h: int, main: bool = False) -> np.ndarray:
         if block is not None:
             g, mg, r, mr, b, mb, a, ma, d, md = codes[block[n]]
             solid, alpha = ma == 0, a[0] >> 4 << 24
+        elif solid and cache:  # as below; what the cache holds is kept up as it goes
+            while fed < n:
+                slots[(CACHE_FACTOR * out[fed] & 0xFFFFFFFF) >> shift] = out[fed]
+                fed += 1
+            for n in range(n, total):
+                window = windows[at >> 3] >> (at & 7)
+                e = g[window & mg]
+                if e < 4096:
+                    k = e & 15
+                    x = r[window >> k & mr]
+                    k += x & 15
+                    y = b[window >> k & mb]
+                    at += k + (y & 15)
+                    x = alpha | x >> 4 << 16 | e >> 4 << 8 | y >> 4
+                    slots[(CACHE_FACTOR * x & 0xFFFFFFFF) >> shift] = x
+                    append(x)
+                elif e >= 4480:
+                    at += e & 15
+                    append(slots[(e >> 4) - 280])
+                else:
+                    break
+            else:
+                break
+            fed = n
         elif solid:  # the common case, in as few steps as can be
             for n in range(n, total):
                 window = windows[at >> 3] >> (at & 7)
@@ -378,10 +402,11 @@ def _copies(p: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     key = np.zeros(n - least + 1, np.uint64)
     for k in range(least):
         key = key * np.uint64(0x9E3779B97F4A7C15) + x[k : n - least + 1 + k]
+    ordered = np.sort(key)
+    if not (ordered[1:] == ordered[:-1]).any():
+        return []
     order = np.argsort(key, kind="stable")
     same = key[order[1:]] == key[order[:-1]]
-    if not same.any():
-        return []
     back = np.zeros(len(key), np.int64)
     back[order[1:][same]] = (order[1:] - order[:-1])[same]
     edge = np.flatnonzero(np.diff(back)) + 1
@@ -400,6 +425,32 @@ def _copies(p: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     return out
 
 
+_ALONE: dict[tuple[int, int], tuple] = {}
+
+
+def _code(counts: np.ndarray, made: dict[bytes, tuple]) -> tuple:
+    """(lengths, values, fields) of the code for the counts; codes of one symbol, and those that are ``made``, are not made again."""
+    used = np.flatnonzero(counts)
+    if len(used) <= 1:
+        key = len(counts), int(used[0]) if len(used) else 0
+        if key not in _ALONE:
+            x = code_lengths(counts)
+            _ALONE[key] = x, code_values(x), _length_fields(x)
+        return _ALONE[key]
+    key = counts.tobytes().rstrip(b"\0")
+    if key not in made:
+        x = code_lengths(counts, 12)
+        made[key] = x, code_values(x), _length_fields(x)
+    found = made[key]
+    if len(found[0]) == len(counts):
+        return found
+    full = [np.zeros(len(counts), a.dtype) for a in found[:2]]  # the same counts in a larger alphabet
+    for wide, a in zip(full, found):
+        n = min(len(a), len(wide))
+        wide[:n] = a[:n]
+    return (*full, found[2])
+
+
 def _write_image(out: Writer, img: np.ndarray, cache: int = 0, main: bool = False, least: int = 4, meta_bits: int = 0) -> None:
     h, w = img.shape
     p = img.ravel()
@@ -430,7 +481,7 @@ def _write_image(out: Writer, img: np.ndarray, cache: int = 0, main: bool = Fals
     hit = np.zeros(len(at), bool)
     if cache:
         slot = (p * np.uint32(CACHE_FACTOR)) >> np.uint32(32 - cache)
-        order = np.argsort(slot, kind="stable")
+        order = (np.sort(slot.astype(np.uint64) << np.uint64(32) | np.arange(len(p), dtype=np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
         known = np.zeros(len(p), bool)
         known[order[1:]] = (slot[order[1:]] == slot[order[:-1]]) & (p[order[1:]] == p[order[:-1]])
         hit = known[at]
@@ -453,13 +504,8 @@ def _write_image(out: Writer, img: np.ndarray, cache: int = 0, main: bool = Fals
         else:  # one code for the three channels is read and written with less work
             counts[1] = counts[2] = counts[0][:256] + counts[1] + counts[2]
             counts[0] = np.concatenate([counts[1], np.zeros(size - 256, np.int64)])
-        made = {}
-        for c in counts:
-            key = c.tobytes().rstrip(b"\0")
-            if key not in made:
-                x = code_lengths(c, 12)
-                made[key] = x, code_values(x), _length_fields(x)
-        full = [made[c.tobytes().rstrip(b"\0")] for c in counts]
+        made: dict[bytes, tuple] = {}
+        full = [_code(c, made) for c in counts]
         lengths, codes = [f[0] for f in full], [f[1] for f in full]
         for f in full:
             out.put_all(*f[2])

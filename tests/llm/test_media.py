@@ -76,3 +76,37 @@ def test_long_payload_takes_several_files():
     payload[-1] = 66
     raw = media.pack(payload)
     assert raw.count(b"WEBPVP8L") == 2 and (media.to_payload(media.unpack(raw)) == payload).all()
+
+
+def test_choice_is_by_size():
+    r = np.random.default_rng(4)
+    h = 40
+    noise = r.integers(0, 256, (h, 64))
+    smooth = (np.arange(h)[:, None] * 2 + np.cumsum(r.integers(-1, 2, (h, 64)), axis=1)) & 255
+    rgb = lambda a, b, c: np.uint32(webp.BLACK) | (a & 255).astype(np.uint32) << np.uint32(16) | (b & 255).astype(np.uint32) << np.uint32(8) | (c & 255).astype(np.uint32)
+    few = r.integers(0, 1 << 24, 700)[r.integers(0, 700, (h, 64))].astype(np.uint32) | np.uint32(webp.BLACK)
+    wide = r.integers(-100, 100, (h, 64))
+    images = {
+        "plain": rgb(*r.integers(97, 123, (3, h, 64))),
+        "green": rgb(noise + r.integers(0, 3, (h, 64)), noise, noise + r.integers(0, 3, (h, 64))),
+        "cross": rgb((70 * wide >> 5) + r.integers(0, 3, (h, 64)), wide, (-50 * wide >> 5) + r.integers(0, 3, (h, 64))),
+        "predictor": rgb(smooth, smooth, smooth),
+        "palette": rgb(*np.array([[1, 99, 7], [200, 3, 180], [40, 250, 90]])[:, r.integers(0, 3, (h, 64))]),
+        "cache": few,
+    }
+    parts = [*images.values(), images["cache"][:1]]
+    plans = media.choose(np.concatenate(parts), np.array([len(p) for p in parts]))
+    names = [t[0][0] if t else "cache" if c else "plain" for t, c in plans]
+    assert names[:6] == list(images)
+    for p, (transforms, cache) in zip(parts, plans):
+        raw = webp.encode(p, transforms, cache, least=8)
+        assert np.array_equal(webp.decode(raw), p)
+        assert len(raw) <= len(webp.encode(p, (), 0, least=8)) + 8
+
+
+def test_copies_next_to_a_cache():
+    r = np.random.default_rng(6)
+    p = r.integers(0, 1 << 24, 90)[r.integers(0, 90, (50, 64))].astype(np.uint32) | np.uint32(webp.BLACK)
+    p[20:35] = p[3:18]
+    for cache in (0, 1, 7, 10):
+        assert np.array_equal(webp.decode(webp.encode(p, (), cache, least=8)), p)
