@@ -14,7 +14,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -206,27 +205,27 @@ def sums(flags: np.ndarray, off: np.ndarray) -> np.ndarray:
     return run[off[1:]] - run[off[:-1]]
 
 
-def coded(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """(number of each span's text among the distinct ones, the distinct texts); spans ascend and do not overlap.  Exact."""
+def coded(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each span's text among the distinct ones, the first span of each text); spans ascend and do not overlap.  Exact."""
     n = len(start)
     if not n:
-        return np.zeros(0, np.int64), []
-    off = np.empty(2 * n + 1, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    off = np.empty(2 * n + 1, np.int32 if len(data) < 1 << 31 else np.int64)
     off[:-1:2], off[1::2], off[-1] = start, end, end[-1]  # every second element is a gap
-    raw = np.ascontiguousarray(data)
-    found = pa.Array.from_buffers(pa.large_binary(), 2 * n, [None, pa.py_buffer(off), pa.py_buffer(raw)]).dictionary_encode()
+    kind = pa.binary() if off.dtype == np.int32 else pa.large_binary()
+    found = pa.Array.from_buffers(kind, 2 * n, [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
     codes = found.indices.to_numpy()[::2]
-    used = np.flatnonzero(np.bincount(codes, minlength=len(found.dictionary)))
-    place = np.zeros(len(found.dictionary), np.int64)
-    place[used] = np.arange(len(used))
-    return place[codes], found.dictionary.take(pa.array(used)).to_pylist()
+    first = np.full(len(found.dictionary), n)
+    first[codes[::-1]] = np.arange(n - 1, -1, -1)
+    used = first < n
+    return (np.cumsum(used) - 1)[codes], first[used]
 
 
 def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, words per row); a word is hashed once a chunk."""
     start, end, counts = word_spans(data, off)
-    codes, distinct = coded(data, start, end)
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), _U, len(distinct))[codes], counts
+    codes, first = coded(data, start, end)
+    return span_hash(eights(data), start[first], end[first])[codes], counts
 
 
 _TERMS = counter_hash(16, 31) | _U(1)
@@ -266,47 +265,86 @@ class _Growing:
 
 
 class WordCache:
-    """Token lists of distinct words, kept from batch to batch; words are told apart by their bytes.
+    """Token lists of distinct words, kept from batch to batch under sorted hashes; a word found is compared byte by byte.
 
-    ``encode`` takes a list of words (bytes) and returns (flat ids, number of ids of each).  Words over
-    ``LONG`` bytes are encoded anew in each chunk, and beyond ``limit`` words the cache starts anew, so a worker's
-    memory is bounded.
+    ``encode`` takes a list of words (bytes) and returns (flat ids, number of ids of each).  Words over ``LONG`` bytes, and
+    words that share their hash with another, are encoded anew in each chunk.  Beyond ``limit`` words the cache starts anew, so
+    a worker's memory is bounded.
     """
 
     LONG = 64
 
-    def __init__(self, encode, dtype, limit: int = 400_000):
+    def __init__(self, encode, dtype, limit: int = 1_500_000):
         self.encode, self.dtype, self.limit = encode, dtype, limit
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.start, self.count, self.flat = _Growing(np.int64), _Growing(np.int64), _Growing(self.dtype)
-
-    def _encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        flat, count = self.encode(words) if words else ([], [])
+        self.sorted = [(np.zeros(0, _U), np.zeros(0, np.int64))] * 2  # (hashes, places): many, and those that came since
+        self.start, self.count, self.flat = _Growing(np.int64), _Growing(np.int32), _Growing(self.dtype)
+        self.at, self.size, self.bytes = _Growing(np.int64), _Growing(np.int32), _Growing(np.uint8)
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each hash, or -1."""
+        out = np.full(len(hashes), -1, np.int64)
+        for keys, places in self.sorted:
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+                out = np.where(keys[at] == hashes, places[at], out)
+        return out
+
+    def _keep(self, hashes: np.ndarray, places: np.ndarray) -> None:
+        many, few = self.sorted
+        few = tuple(np.concatenate(x) for x in zip(few, (hashes, places)))
+        if len(few[0]) > max(1 << 15, len(many[0]) // 4):
+            many, few = tuple(np.concatenate(x) for x in zip(many, few)), (np.zeros(0, _U), np.zeros(0, np.int64))
+            order = np.argsort(many[0])
+            many = many[0][order], many[1][order]
+        else:
+            order = np.argsort(few[0])
+            few = few[0][order], few[1][order]
+        self.sorted = [many, few]
+
+    def _encoded(self, raw: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        flat, count = self.encode([raw[s:e] for s, e in zip(start.tolist(), end.tolist())]) if len(start) else ([], [])
         return np.asarray(flat, self.dtype), np.asarray(count, np.int64)
 
     def lookup(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, ids per word) of the given spans, which ascend and do not overlap."""
-        codes, distinct = coded(data, start, end)
-        new = [w for w in distinct if w not in self.index and len(w) <= self.LONG]
-        if len(self.index) + len(new) > self.limit and self.index:
+        codes, first = coded(data, start, end)
+        raw, s, e = data.tobytes(), start[first], end[first]  # of the distinct words
+        hashes = span_hash(eights(data), s, e)
+        place = self._find(hashes)
+        if self.size.n + int((place < 0).sum()) > self.limit and self.size.n:
             self._clear()
-            new = [w for w in distinct if len(w) <= self.LONG]
-        flat, count = self._encoded(new)
+            place[:] = -1
+        known = np.flatnonzero(place >= 0)
+        size = (e - s)[known]
+        same = self.size.room[place[known]] == size
+        known, size = known[same], size[same]
+        other = take_ragged(data, s[known], size) != take_ragged(self.bytes.room, self.at.room[place[known]], size)
+        equal = np.zeros(len(first), bool)
+        equal[known[sums(other, np.concatenate([[0], np.cumsum(size)])) == 0]] = True
+        fresh = np.flatnonzero((place < 0) & (e - s <= self.LONG))
+        fresh = fresh[np.unique(hashes[fresh], return_index=True)[1]]
+        flat, count = self._encoded(raw, s[fresh], e[fresh])
+        place[fresh] = self.size.n + np.arange(len(fresh))
+        self._keep(hashes[fresh], place[fresh])
         self.start.add(self.flat.n + np.cumsum(count) - count)
         self.count.add(count)
         self.flat.add(flat)
-        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
-        long = [w for w in distinct if len(w) > self.LONG]
-        more, more_count = self._encoded(long)
-        at = np.fromiter((self.index.get(w, -1) for w in distinct), np.int64, len(distinct))
-        first, number = self.start.room[at], self.count.room[at]  # of the chunk's distinct words
-        number[at < 0] = more_count
-        short = take_ragged(self.flat.room, first[at >= 0], number[at >= 0])
-        known = number[at >= 0]
-        first[at >= 0] = np.cumsum(known) - known
-        first[at < 0] = len(short) + np.cumsum(more_count) - more_count
-        number = number[codes]
-        return take_ragged(np.concatenate([short, more]), first[codes], number), number
+        size = (e - s)[fresh]
+        self.at.add(self.bytes.n + np.cumsum(size) - size)
+        self.size.add(size)
+        self.bytes.add(take_ragged(data, s[fresh], size))
+        equal[fresh] = True
+        rest = np.flatnonzero(~equal)
+        more, more_count = self._encoded(raw, s[rest], e[rest])
+        begin, number = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+        begin[equal], number[equal] = self.start.room[place[equal]], self.count.room[place[equal]]
+        begin[rest], number[rest] = self.flat.n + np.cumsum(more_count) - more_count, more_count
+        if len(more):
+            short = take_ragged(self.flat.room, begin[equal], number[equal])
+            begin[equal] = np.cumsum(number[equal]) - number[equal]
+            begin[rest] += len(short) - self.flat.n
+            return take_ragged(np.concatenate([short, more]), begin[codes], number[codes]), number[codes]
+        return take_ragged(self.flat.room, begin[codes], number[codes]), number[codes]
