@@ -36,8 +36,8 @@ def to_payload(pixels: np.ndarray) -> np.ndarray:
     return np.stack([p >> _U(16), p >> _U(8), p], axis=1).astype(np.uint8).ravel()
 
 
-#: Predictors that are tried: left, top and top left.
-PREDICTORS = (1, 2, 4)
+#: Predictors that are tried, left and top; and the share of the bits that a transform or cache must save, as it takes time to undo.
+PREDICTORS, GAIN = (1, 2), 0.05
 
 
 def _entropy(base: np.ndarray, n: int, *values: np.ndarray) -> np.ndarray:
@@ -61,7 +61,7 @@ def _signed(v: np.ndarray) -> np.ndarray:
 
 
 def choose(pixels: np.ndarray, height: np.ndarray) -> list[tuple[tuple, int]]:
-    """(transforms, size of the colour cache) of the fewest estimated bits, for images one below another in ``pixels``.
+    """(transforms, size of the colour cache) of the fewest estimated bits, GAIN counted, for images one below another in ``pixels``.
 
     Weighed over all pixels of each image: none, subtract-green, cross-colour with the multipliers of least squares, the
     predictors, a palette, and a colour cache for the image's number of colours.
@@ -91,8 +91,6 @@ def choose(pixels: np.ndarray, height: np.ndarray) -> list[tuple[tuple, int]]:
             guess = left
             if mode != 1:
                 up = np.roll(c, 1, axis=0)
-                if mode == 4:
-                    up = np.concatenate([up[:, :1], up[:, :-1]], axis=1)
                 guess = np.where(first[:, None], left, up)
                 guess[:, 0] = left[:, 0]
             out.append(c - guess)
@@ -125,6 +123,8 @@ def choose(pixels: np.ndarray, height: np.ndarray) -> list[tuple[tuple, int]]:
     other = sum(np.bincount(own + c.ravel()[~hit], minlength=n * 256) for c in (red, blue))
     cost["cache"] = main + _code_bits(other.reshape(n, 256)) + 40
 
+    for k in cost:
+        cost[k] = cost[k] * (1.0 if k == "plain" else 1 + GAIN)
     names = list(cost)
     best = np.argmin(np.stack([cost[k] for k in names]), axis=0)
     out: list[tuple[tuple, int]] = []

@@ -10,7 +10,6 @@ Pixels are uint32 ARGB.  Damaged input raises ValueError.
 
 from __future__ import annotations
 
-import heapq
 import struct
 
 import numpy as np
@@ -139,25 +138,30 @@ def code_lengths(counts: np.ndarray, most: int = MAX_CODE) -> np.ndarray:
     if len(used) <= 1:
         lengths[used if len(used) else [0]] = 1
         return lengths
-    weights = counts[used].tolist()
-    while True:
-        n = len(weights)
-        heap = [(w, i) for i, w in enumerate(weights)]
-        heapq.heapify(heap)
-        parent, at = [0] * (2 * n - 1), n
-        while len(heap) > 1:
-            a, i = heapq.heappop(heap)
-            b, j = heap[0]
-            parent[i] = parent[j] = at
-            heapq.heapreplace(heap, (a + b, at))
-            at += 1
+    used = used[np.argsort(counts[used], kind="stable")]
+    leaves = counts[used].tolist()
+    n = len(leaves)
+    while True:  # the two lightest of the leaves and of the nodes made so far, both of which ascend
+        parent, nodes, i, j = [0] * (2 * n - 1), [], 0, 0
+        for at in range(n, 2 * n - 1):
+            total = 0
+            for _ in (0, 1):
+                if j == len(nodes) or (i < n and leaves[i] <= nodes[j]):
+                    total += leaves[i]
+                    parent[i] = at
+                    i += 1
+                else:
+                    total += nodes[j]
+                    parent[n + j] = at
+                    j += 1
+            nodes.append(total)
         depth = [0] * (2 * n - 1)
-        for i in range(2 * n - 3, -1, -1):
-            depth[i] = depth[parent[i]] + 1
-        if max(depth[:n]) <= most:
+        for k in range(2 * n - 3, -1, -1):
+            depth[k] = depth[parent[k]] + 1
+        if depth[0] <= most:
             lengths[used] = depth[:n]
             return lengths
-        weights = [w // 2 + 1 for w in weights]
+        leaves = [w // 2 + 1 for w in leaves]
 
 
 def _read_lengths(bits: Bits, size: int) -> tuple[np.ndarray, int | None]:
@@ -205,37 +209,26 @@ def _length_fields(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if len(used) == 2:
             values, sizes = [*values, int(used[1])], [*sizes, 8]
         return np.array(values, np.uint64), np.array(sizes)
-    tokens: list[int] = []  # symbol, with the value of its extra bits above
-    last = 8
-    edges = (np.flatnonzero(np.diff(lengths)) + 1).tolist()
-    start = [0, *edges]
-    runs = lengths[start].tolist()
-    for s, e, value in zip(start, [*edges, len(lengths)], runs):
-        n = e - s
-        if value == 0:
-            if e == len(lengths):
-                break
-            while n >= 3:
-                k = min(n, 138)
-                tokens.append(17 | (k - 3) << 8 if k < 11 else 18 | (k - 11) << 8)
-                n -= k
-        else:
-            if value != last:
-                tokens.append(value)
-                n, last = n - 1, value
-            while n >= 3:
-                k = min(n, 6)
-                tokens.append(16 | (k - 3) << 8)
-                n -= k
-        if n:
-            tokens += [value] * n
-    tokens += [0] * (2 - len(tokens))
-    token = np.array(tokens)
+    end = int(used[-1]) + 1  # zeros after it are not stored
+    start = np.concatenate([[0], np.flatnonzero(np.diff(lengths[:end])) + 1])
+    value, size = lengths[start], np.diff(start, append=end)
+    lead = (value > 0).astype(np.int64)  # a length stands for itself once, before it is repeated
+    most = np.where(lead, 6, 138)
+    pieces = lead - (lead - size) // most
+    run = np.repeat(np.arange(len(start)), pieces)
+    turn = np.arange(len(run)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    part = np.minimum((size - lead)[run] - (turn - lead[run]) * most[run], most[run])
+    first = turn < lead[run]
+    alone = first | (part < 3)
+    value = value[run]
+    token = np.where(alone, value, np.where(value > 0, 16 | (part - 3) << 8, np.where(part < 11, 17 | (part - 3) << 8, 18 | (part - 11) << 8)))
+    token = np.repeat(token, np.where(first, 1, np.where(alone, part, 1)))
+    token = np.concatenate([token, np.zeros(max(0, 2 - len(token)), np.int64)])
     symbol = token & 255
     own = code_lengths(np.bincount(symbol, minlength=19), 7)
     n = max(4, 1 + max(i for i, k in enumerate(LENGTH_ORDER) if own[k]))
-    wide = max(1, -(-(len(tokens) - 2).bit_length() // 2))
-    head = [0, n - 4, *own[list(LENGTH_ORDER[:n])].tolist(), 1, wide - 1, len(tokens) - 2]
+    wide = max(1, -(-(len(token) - 2).bit_length() // 2))
+    head = [0, n - 4, *own[list(LENGTH_ORDER[:n])].tolist(), 1, wide - 1, len(token) - 2]
     bare = own if np.count_nonzero(own) > 1 else np.zeros_like(own)
     extra = np.where(symbol == 16, 2, np.where(symbol == 17, 3, np.where(symbol == 18, 7, 0)))
     values = code_values(own)[symbol] | (token >> 8).astype(np.uint64) << bare[symbol].astype(np.uint64)

@@ -85,11 +85,11 @@ def test_choice_is_by_size():
     smooth = (np.arange(h)[:, None] * 2 + np.cumsum(r.integers(-1, 2, (h, 64)), axis=1)) & 255
     rgb = lambda a, b, c: np.uint32(webp.BLACK) | (a & 255).astype(np.uint32) << np.uint32(16) | (b & 255).astype(np.uint32) << np.uint32(8) | (c & 255).astype(np.uint32)
     few = r.integers(0, 1 << 24, 700)[r.integers(0, 700, (h, 64))].astype(np.uint32) | np.uint32(webp.BLACK)
-    wide = r.integers(-100, 100, (h, 64))
+    wide = np.rint(r.normal(0, 24, (h, 64))).astype(int)
     images = {
         "plain": rgb(*r.integers(97, 123, (3, h, 64))),
         "green": rgb(noise + r.integers(0, 3, (h, 64)), noise, noise + r.integers(0, 3, (h, 64))),
-        "cross": rgb((70 * wide >> 5) + r.integers(0, 3, (h, 64)), wide, (-50 * wide >> 5) + r.integers(0, 3, (h, 64))),
+        "cross": rgb((70 * wide >> 5) + r.integers(0, 20, (h, 64)), wide, (-50 * wide >> 5) + r.integers(0, 20, (h, 64))),
         "predictor": rgb(smooth, smooth, smooth),
         "palette": rgb(*np.array([[1, 99, 7], [200, 3, 180], [40, 250, 90]])[:, r.integers(0, 3, (h, 64))]),
         "cache": few,
@@ -101,7 +101,7 @@ def test_choice_is_by_size():
     for p, (transforms, cache) in zip(parts, plans):
         raw = webp.encode(p, transforms, cache, least=8)
         assert np.array_equal(webp.decode(raw), p)
-        assert len(raw) <= len(webp.encode(p, (), 0, least=8)) + 8
+        assert len(raw) <= 1.03 * len(webp.encode(p, (), 0, least=8))
 
 
 def test_copies_next_to_a_cache():
