@@ -3,12 +3,18 @@
 Mentions are found by one regular expression.  A mention stands for one or two units (kind, norm): the
 norm is what its spellings share, such as the digits of a phone number or the address in lower case.  A
 unit's surrogate is a function of (secret key, kind, norm, attempt), so every mention of it gets the same
-one; it keeps kind and format: digits stay digits, letters keep their case, addresses keep their number of
-labels, card numbers get a valid check digit where the original has one, names keep script and gender.
+one; it keeps kind and format: digits stay digits, letters keep case and script, addresses keep their number of
+labels, card numbers and IBANs get valid check digits where the original has them, names keep script, case and gender.
+
+Found are: named secrets, e-mail addresses, access keys, IBANs, persons (behind a title, or with a given name of
+``GIVEN``), IPv4 and IPv6 addresses, phone numbers (with a plus, a bracket, or as 3-3-4 digits with dashes or dots), numbers in
+the form of a social security number, and card numbers in fours or as 4-6-5.  Scripts with surrogates of their own: ``SCRIPTS``;
+letters of others become Latin.  Names without title or listed given name are not found.
 
 Attempts exist for collisions.  All distinct units take attempt 0; a surrogate that is a real unit of the
 corpus goes to no unit, one that two units share to one of them, and the others try again, until surrogates
-are as distinct as units.  Replacements are made once per distinct mention and joined to the places.
+are as distinct as units; after ``GROW`` attempts a surrogate gets longer than its form, so that this ends however dense a form's numbers are.
+Replacements are made once per distinct mention and joined to the places, the places of a hot mention spread over tasks.
 
 Cases: a null text stays null; texts without mentions are unchanged; repeated rows are rewritten alike; an
 empty table gives an empty result; a mention in a third of all rows is one unit, counted in every task
@@ -23,9 +29,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leontia.llm.common import cut
+from leontia.llm.common import cut, spread_join
 
-MAX_ATTEMPTS = 64
+MAX_ATTEMPTS, GROW = 64, 24
 
 # Given names by script and gender, titles by gender, and the syllables of surnames by script.
 GIVEN = {
@@ -35,6 +41,17 @@ GIVEN = {
     ("cyrillic", "m"): ["Алексей", "Борис", "Виктор", "Дмитрий", "Иван", "Михаил", "Николай", "Сергей"],
 }
 TITLES = {"f": ["Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme"], "m": ["Mr", "Herr", "Señor", "Sr", "Monsieur"], "": ["Dr", "Prof"]}
+# Pattern of a letter, first and number of the code points that stand in for it.
+SCRIPTS = {
+    "greek": [(r"[\x{390}\x{3AC}-\x{3CE}]", 0x3B1, 25), (r"[\x{386}-\x{3AB}&&\p{Lu}]", 0x391, 17)],
+    "hebrew": [(r"[\x{5D0}-\x{5EA}]", 0x5D0, 27)],
+    "arabic": [(r"[\x{621}-\x{64A}]", 0x627, 20)],
+    "devanagari": [(r"[\x{904}-\x{939}]", 0x915, 37)],
+    "hiragana": [(r"[\x{3041}-\x{3096}]", 0x3042, 80)],
+    "katakana": [(r"[\x{30A1}-\x{30FA}]", 0x30A2, 80)],
+    "han": [(r"\p{IsHan}", 0x4E00, 5000)],
+    "hangul": [(r"[\x{AC00}-\x{D7A3}]", 0xAC00, 11172)],
+}
 SYLLABLES = {"latin": ["bar", "den", "fel", "gor", "hal", "jen", "kel", "lor", "mar", "nev", "orm", "pel", "ros", "san", "tor", "vin"], "cyrillic": ["бар", "вел", "гор", "дан", "жел", "кол", "лев", "мар", "нов", "орл", "пет", "рог", "сав", "тол", "фед", "чер"]}
 
 _titles = "|".join(t for ts in TITLES.values() for t in ts)
@@ -45,14 +62,15 @@ _WORDS = {  # what starts at the start of a word
     "secret": rf"(?=[PpSsTtAa]){_secret}[^\s\"',;]{{6,}}",
     "email": r"(?<![._%+-])[\p{L}\d._%+-]++@[\p{L}\d-]+(?:\.[\p{L}\d-]+)+",
     "key": r"(?=[Ags])(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,})",
+    "ipv6": r"(?=[\da-fA-F]{1,4}:[\da-fA-F:])(?=[\da-fA-F:]*\d)(?:(?:[\da-fA-F]{1,4}:){7}[\da-fA-F]{1,4}|(?:[\da-fA-F]{1,4}:){1,6}(?::[\da-fA-F]{1,4}){1,6})(?![\p{L}\d:])",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\d])",
     "person": rf"(?=\p{{Lu}})(?:(?:{_titles})\.? {_name}(?: {_name})?|(?:{_given})(?: {_name})?)(?![\p{{L}}\d])",
 }
 _NUMBERS = {  # what starts with a digit, a plus or a bracket
     "ip": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)",
-    "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)",
+    "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d.-])\d{3}(?:-\d{3}-|\.\d{3}\.)\d{4}(?![\d-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "card": r"(?<![\d.])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}(?!\d)",
+    "card": r"(?<![\d.])(?:\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)",
 }
 KINDS: dict[str, str] = _WORDS | _NUMBERS
 #: Most places in a text are ruled out by the first test of either half.
@@ -79,7 +97,7 @@ def _lead(kind: Column, m: Column) -> Column:
 
 
 def _norm(kind: Column, rest: Column) -> Column:
-    return F.when(kind == "email", F.lower(rest)).when(kind.isin("phone", "ssn", "card"), _digits(rest)).when(kind == "iban", F.regexp_replace(rest, " ", "")).otherwise(rest)
+    return F.when(kind.isin("email", "ipv6"), F.lower(rest)).when(kind.isin("phone", "ssn", "card"), _digits(rest)).when(kind == "iban", F.regexp_replace(rest, " ", "")).otherwise(rest)
 
 
 def mentions(text: Column) -> Column:
@@ -104,6 +122,16 @@ def _pick(letters: str, n: Column) -> Column:
     return F.substring(F.lit(letters), F.pmod(n, F.lit(len(letters))) + 1, F.lit(1))
 
 
+def _foreign(c: Column, n: Column) -> Column:
+    """A letter of the script of ``c``; Latin where SCRIPTS does not have it."""
+    out = F.when(F.lit(False), "")
+    for parts in SCRIPTS.values():
+        for letters, first, count in parts:
+            point = F.lpad(F.hex(F.pmod(n, F.lit(count)) + first), 4, "0")
+            out = out.when(c.rlike(letters), F.decode(F.unhex(point), "UTF-16BE"))
+    return out.otherwise(_pick("abcdefghijklmnopqrstuvwxyz", n))
+
+
 def _like(s: Column, stream: Column) -> Column:
     """A string of the same form: digits for digits, letters for letters of the same case and script."""
     hexadecimal = s.rlike("^(?=.*\\d)(?=.*[a-f])[0-9a-f]+$")
@@ -118,6 +146,7 @@ def _like(s: Column, stream: Column) -> Column:
             .when(c.rlike("[A-Z]"), _pick(low.upper(), b))
             .when(c.rlike(r"\p{IsCyrillic}") & (c == F.lower(c)), _pick(cyr, b))
             .when(c.rlike(r"\p{IsCyrillic}"), _pick(cyr.upper(), b))
+            .when(c.rlike(r"[\x{370}-\x{FFFF}&&\p{L}]"), _foreign(c, b * 256 + _byte(stream, i + 97)))
             .when(c.rlike(r"\p{Lu}"), _pick(low.upper(), b))
             .when(c.rlike(r"\p{L}"), _pick(low, b))
             .otherwise(c)
@@ -137,29 +166,39 @@ def _luhn(digits: Column) -> Column:
     return F.pmod(F.aggregate(chars, F.lit(0), add), F.lit(10))
 
 
+def _mod97(s: Column) -> Column:
+    """The number that digits and letters (A = 10) spell, mod 97."""
+    step = lambda acc, c: F.when(c.rlike("[0-9]"), F.pmod(acc * 10 + F.coalesce(c.try_cast("int"), F.lit(0)), F.lit(97))).otherwise(F.pmod(acc * 100 + F.ascii(c) - 55, F.lit(97)))
+    return F.aggregate(F.split(s, ""), F.lit(0), step)
+
+
 def with_surrogates(units: DataFrame, attempt: int, key: str) -> DataFrame:
     """Adds ``s``, the surrogate of each unit (kind, norm) at an attempt, in the form of its norm."""
     kind, norm, plain, stream = (F.col(c) for c in ("kind", "norm", "plain", "stream"))
-    more = F.lit("x" * (attempt // 4))
+    more, grown = F.lit("x" * (attempt // 4)), max(0, (attempt - GROW) // 4 + 1)
     domain, local = F.substring_index(norm, "@", -1), F.substring_index(norm, "@", 1)
-    longer = F.when(kind == "email", F.concat(local, more)).when(kind.isin("secret", "name"), F.concat(norm, more)).otherwise(norm)
+    longer = F.when(kind == "email", F.concat(local, more)).when(kind.isin("secret", "name"), F.concat(norm, more)).otherwise(F.concat(norm, F.lit("0" * grown)))
     df = units.withColumn("stream", _stream(key, kind, norm, F.lit(str(attempt)))).withColumn("plain", _like(longer, stream))
     df = df.withColumn("top", F.regexp_extract(domain, r"\.[^.]*$", 0)).withColumn("domain", F.when(kind == "email", domain)).withColumn("hosts", _stream(key, F.lit("domain"), F.col("domain")))
     host = F.substring(F.col("domain"), F.lit(1), F.length("domain") - F.length("top"))
     df = df.withColumn("host", F.when(kind == "email", _like(host, F.col("hosts"))))
-    ip = F.concat_ws(".", *[(F.pmod(_byte(stream, F.lit(i)), F.lit(254)) + 1).cast("string") for i in range(4)])
+    ip = F.concat_ws(".", *[(F.pmod(_byte(stream, F.lit(i)), F.lit(254)) + 1).cast("string") for i in range(4 + grown)])
     phone = F.concat(F.substring(norm, 1, 1), _pick("23456789", _byte(stream, F.lit(200))), F.substring(plain, F.lit(3), F.length(plain)))
     df = df.withColumn("body", F.when(kind == "card", F.concat(F.substring(norm, 1, 1), F.substring(plain, F.lit(2), F.length(plain) - 2))))
     check = F.pmod(10 - _luhn(F.concat(F.col("body"), F.lit("0"))), F.lit(10)).cast("string")
     card = F.concat(F.col("body"), F.when(_luhn(norm) == 0, check).otherwise(F.substring(plain, -1, 1)))
-    iban = F.concat(F.substring(norm, 1, 2), F.substring(plain, F.lit(3), F.length(plain)))
+    land, rest = F.substring(norm, 1, 2), F.substring(plain, F.lit(5), F.length(plain))
+    valid = _mod97(F.concat(F.substring(norm, F.lit(5), F.length(norm)), F.substring(norm, 1, 4))) == 1
+    iban = F.concat(land, F.when(valid, F.lpad((98 - _mod97(F.concat(rest, land, F.lit("00")))).cast("string"), 2, "0")).otherwise(F.substring(plain, 3, 2)), rest)
+    ipv6 = F.array_join(F.transform(F.split(norm, ""), lambda c, i: F.when(c == ":", c).otherwise(_pick("0123456789abcdef", _byte(stream, i)))), "")
+    ipv6 = F.concat(ipv6, F.lit(":0" * grown))
 
     def surname(script: str) -> Column:
         parts = [F.element_at(F.array(*map(F.lit, SYLLABLES[script])), F.pmod(_byte(stream, F.lit(i)), F.lit(16)) + 1) for i in range(4)]
         return F.concat(*parts, F.lit(SYLLABLES[script][0][1] * (attempt // 4)))
 
-    name = F.when(norm.rlike(r"\p{IsCyrillic}"), surname("cyrillic")).otherwise(surname("latin"))
-    made = F.when(kind == "email", F.concat(plain, F.lit("@"), F.col("host"), F.col("top"))).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "card", card).when(kind == "iban", iban).when(kind == "name", name).otherwise(plain)
+    name = F.when(norm.rlike(r"\p{IsCyrillic}"), surname("cyrillic")).when(norm.rlike(r"\p{IsLatin}"), surname("latin")).otherwise(plain)
+    made = F.when(kind == "email", F.concat(plain, F.lit("@"), F.col("host"), F.col("top"))).when(kind == "ip", ip).when(kind == "ipv6", ipv6).when(kind == "phone", phone).when(kind == "card", card).when(kind == "iban", iban).when(kind == "name", name).otherwise(plain)
     return df.select(*units.columns, made.alias("s"))
 
 
@@ -179,7 +218,8 @@ def _dress(m: Column, core: Column) -> Column:
         place = c.rlike(r"[\p{L}\d]")
         return F.struct(F.concat(acc["out"], F.when(place, F.substring(core, acc["i"], F.lit(1))).otherwise(c)).alias("out"), (acc["i"] + F.when(place, 1).otherwise(0)).alias("i"))
 
-    return F.aggregate(F.split(m, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("i")), step)["out"]
+    last = lambda acc: F.concat(acc["out"], F.substring(core, acc["i"], F.length(core)))  # noqa: E731 # more than there are places for
+    return F.aggregate(F.split(m, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("i")), step, last)
 
 
 # ---- the operator
@@ -212,19 +252,20 @@ def replacements(found: DataFrame, key: str) -> DataFrame:
     parts = cut(parts.withColumn("kind", F.when(F.col("kind") == "person", "name").otherwise(F.col("kind"))))
     units = cut(parts.where("given IS NULL").select("kind", "norm").distinct())
     w, kind, made = F.col("w"), F.col("kind"), F.col("s")
-    upper = (kind == "email") & w.rlike("[A-Z]") & ~w.rlike("[a-z]")
-    piece = F.coalesce("given", F.when(kind == "name", F.initcap(made)).when(kind.isin("phone", "ssn", "card", "iban"), _dress(w, made)).when(upper, F.upper(made)).otherwise(made))
+    upper = w.rlike(r"\p{Lu}") & (w == F.upper(w))
+    piece = F.coalesce("given", F.when((kind == "name") & ~upper, F.initcap(made)).when(kind.isin("phone", "ssn", "card", "iban"), _dress(w, made)).when(upper & kind.isin("email", "name", "ipv6"), F.upper(made)).otherwise(made))
     ready = parts.join(distinct_surrogates(units, key), ["kind", "norm"], "left").select("m", "lead", "i", piece.alias("piece"))
     ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "piece"))), lambda x: x["piece"]), " ")
     return cut(ready.groupBy("m").agg(F.concat(F.first("lead"), ordered).alias("r")))
 
 
-def replace_pii(docs: DataFrame, key: str) -> DataFrame:
-    """The documents with their mentions replaced, and ``n_entities``, the number of mentions."""
-    keyed = docs.withColumns({"pii_doc": F.coalesce("doc_id", F.lit(0)).cast("long"), "pii_hash": F.xxhash64("text")})
-    found = cut(keyed.select("pii_doc", "pii_hash", F.posexplode(mentions(F.col("text"))).alias("i", "m")))
-    ready = found.distinct().join(replacements(found, key), "m")
-    ready = ready.groupBy("pii_doc", "pii_hash").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "r"))), lambda x: x["r"]).alias("pii_new"))
-    between = F.split(F.col("text"), PATTERN, -1)
-    text = F.array_join(F.zip_with(between, F.col("pii_new"), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    return keyed.join(ready, ["pii_doc", "pii_hash"], "left").select(*[F.when(F.col("pii_new").isNotNull(), text).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns], F.when(F.col("pii_new").isNull(), 0).otherwise(F.size("pii_new")).alias("n_entities"))
+def replace_pii(docs: DataFrame, key: str, count: str | None = "n_entities") -> DataFrame:
+    """The documents with their mentions replaced, and the column ``count``, the number of mentions (None: no such column; one of the input's is replaced)."""
+    keyed = docs.select(F.struct("*").alias("row"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc"), F.xxhash64("text").alias("hash"))  # one name, so that no column clashes
+    found = cut(keyed.select("doc", "hash", F.posexplode(mentions(F.col("row.text"))).alias("i", "m")))
+    ready = spread_join(found.distinct(), replacements(found, key), "m")
+    ready = ready.groupBy("doc", "hash").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "r"))), lambda x: x["r"]).alias("new"))
+    body, new = F.col("row.text"), F.col("new")
+    text = F.array_join(F.zip_with(F.split(body, PATTERN, -1), new, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    columns = [F.when(new.isNotNull(), text).otherwise(body).alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c != count]
+    return keyed.join(ready, ["doc", "hash"], "left").select(*columns, *([F.when(new.isNull(), 0).otherwise(F.size(new)).alias(count)] if count else []))

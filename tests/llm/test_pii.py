@@ -53,6 +53,38 @@ def test_coreference_gender_script(rows):
     assert len({re.sub(r"\D", "", p) for p in phones}) == 1
 
 
+def test_more_forms(spark):
+    texts = [
+        "call 986-555-4218 or 986.555.4218, not 12:30:45 or a::b; 2001:db8:0:0:1:0:0:1 and 2001:DB8::1F",
+        "amex 3782 822463 10005 iban GB82 WEST 1234 5698 7654 32",
+        "Dr ANNE SMITHSON, Dr. Smithson; Prof. Παπαδόπουλος and Prof. Παπαδόπουλος",
+    ]
+    got = [r.text for r in pii.replace_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    m = re.fullmatch(r"call (\d{3})-(\d{3})-(\d{4}) or (\d{3})\.(\d{3})\.(\d{4}), not 12:30:45 or a::b; ((?:[\da-f]{1,4}:){7}[\da-f]{1,4}) and ([\dA-F]{4}:[\dA-F]{3}::[\dA-F]{2})", got[0])
+    assert m and m.groups()[:3] == m.groups()[3:6] != ("986", "555", "4218"), got[0]
+    m = re.fullmatch(r"amex (3\d{3} \d{6} \d{5}) iban (GB\d\d [A-Z]{4} \d{4} \d{4} \d{4} \d\d)", got[1])
+    assert m and luhn(m[1]), got[1]
+    iban = m[2].replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    m = re.fullmatch(r"Dr ([A-Z]+) ([A-Z]+), Dr\. ([A-Z][a-z]+); Prof\. ([Α-Ω][α-ω]+) and Prof\. ([Α-Ω][α-ω]+)", got[2])
+    assert m and m[2].title() == m[3] and m[4] == m[5] != "Παπαδόπουλος", got[2]
+
+
+def test_dense_numbers_end(spark, monkeypatch):
+    """More numbers than a form has surrogates left: they grow, and stay distinct."""
+    monkeypatch.setattr(pii, "GROW", 2)
+    units = spark.createDataFrame([("ssn", f"{i:02d}") for i in range(100)], "kind string, norm string")
+    got = {r.norm: r.s for r in pii.distinct_surrogates(units, "k").collect()}
+    assert len(set(got.values())) == 100 and not set(got) & set(got.values())
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "x bob@mail1.example.com", 1, 2, 3, 4, 5)], "doc_id long, text string, doc int, hash int, m int, n_entities int, row int")
+    out = pii.replace_pii(df, "k", None)
+    assert out.columns == df.columns and tuple(out.first())[2:] == (1, 2, 3, 4, 5) and "bob" not in out.first().text
+    assert pii.replace_pii(df, "k").first().n_entities == 1
+
+
 def test_clean_text_is_untouched(rows):
     assert (rows[3].text, rows[4].text, rows[5].text) == (None, "", TEXTS[5])
 
