@@ -8,6 +8,9 @@ wins.  A C-step is two aggregations over the statistics table (a mergeable quant
 group of any size, also one with a third of all rows, is summed in every task before the shuffle.  Only
 the k x k inversions run in Python, one row a group.
 
+Estimates are broadcast while there are at most ``BROADCAST`` of them, of some 300 bytes each; beyond that rows of a hot group
+are spread over tasks.
+
 Cases: null text counts as empty; a text without words fails the base rules; a null language or source is
 a group of its own; a group of fewer than ``MIN_ROWS`` rows that passed the base rules is judged by the
 estimate of its language, or of all rows where the language has as few; the estimate of all rows takes any
@@ -25,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leontia.llm.common import batch_of, chunks, coded, cut, ramp, sums, word_spans
+from leontia.llm.common import batch_of, chunks, coded, cut, ramp, spread_join, sums, word_spans
 
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WIDTH = 50, 50, 3
-H, STEPS, MIN_ROWS, TAIL = 0.75, 4, 40, 1e-9
+H, STEPS, MIN_ROWS, TAIL, BROADCAST = 0.75, 4, 40, 1e-9, 50_000
 #: Least standard deviation of each feature, in its own units: below it, differences do not matter.
 FEATURES = {"f_words": 0.25, "f_length": 0.05, "f_symbols": 0.35, "f_dup": 0.15, "f_repeat": 0.15}
 
@@ -164,20 +167,25 @@ def _at_levels(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode(F.array(*at)).alias("at"), *_NAMES).select("at.*", *_NAMES)
 
 
+def _by_key(rows: DataFrame, few: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with a written table of some rows a group."""
+    return rows.join(F.broadcast(few), keys, how) if few.count() <= BROADCAST else spread_join(rows, few, *keys, how=how)
+
+
 def mcd(rows: DataFrame) -> DataFrame:
     """(level, lang, source, mu, prec) of all rows and of each group or language of at least MIN_ROWS; nulls in keys must be gone."""
     x, key, rows = [F.col(n) for n in _NAMES], _KEY, _at_levels(rows)
     middle = cut(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(c, 0.5, 1000).alias(f"m{i}") for i, c in enumerate(x)]).where((F.col("n") >= MIN_ROWS) | (F.col("level") == len(LEVELS) - 1)))
-    spread = rows.join(middle, key).groupBy(*key).agg(
+    spread = _by_key(rows, middle, key).groupBy(*key).agg(
         F.first("n").alias("n"), *[F.first(f"m{i}").alias(f"m{i}") for i in range(_K)], *[F.percentile_approx(F.abs(c - F.col(f"m{i}")), 0.5, 1000).alias(f"s{i}") for i, c in enumerate(x)], F.array(*[F.avg(c) for c in x]).alias("mu"), F.array(*[F.covar_pop(x[i], x[j]) for i, j in _PAIRS]).alias("cov")
     )
     robust = spread.select(*key, "n", F.lit(0).alias("start"), F.array(*[F.col(f"m{i}").cast("double") for i in range(_K)]).alias("mu"), F.array(*[F.pow(1.4826 * F.col(f"s{i}"), F.lit(2.0)) if i == j else F.lit(0.0) for i, j in _PAIRS]).alias("cov"))
     spread = cut(robust.unionByName(spread.select(*key, "n", F.lit(1).alias("start"), "mu", "cov")))
     params, factor = _solve(spread, 1.0), consistency(H, _K)
     for _ in range(STEPS):
-        scored = rows.join(params, key).withColumn("d2", distance2())
+        scored = _by_key(rows, params, key).withColumn("d2", distance2())
         bound = cut(scored.groupBy(*key, "start").agg(F.percentile_approx("d2", H, 10000).alias("bound")))
-        inner = scored.join(bound, [*key, "start"]).where(F.col("d2") <= F.col("bound"))
+        inner = _by_key(scored, bound, [*key, "start"]).where(F.col("d2") <= F.col("bound"))
         params = _solve(_moments(inner, [*key, "start"]), factor)
     best = params.groupBy(*key).agg(F.min(F.struct("logdet", "start", "mu", "prec")).alias("b"))
     return cut(best.select(*key, "b.mu", "b.prec"))
@@ -196,14 +204,14 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
 
     ``distance2`` is null where the group has no estimate of its own; ``judged_distance2`` is what ``kept`` comes from.
     """
-    stats = cut(features(text_stats(docs)).withColumns({"lang": F.coalesce("lang", F.lit("")), "source": F.coalesce("source", F.lit(""))}))
+    stats = cut(features(text_stats(docs)).withColumns({c: F.when(F.col(c).isNull(), "").otherwise(F.concat(F.lit("="), c)) for c in ("lang", "source")}))  # null is no text
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     stats = stats.withColumn("base_failed", failed)
     params = cut(estimates(stats.select("lang", "source").distinct(), mcd(stats.where(~failed))))
     far = F.coalesce(F.col("d2") > F.lit(chi2_quantile(1 - TAIL, _K)), F.lit(False))
     judged = F.round("d2", 6)
     return (
-        stats.join(params, ["lang", "source"], "left")
+        _by_key(stats, params, ["lang", "source"], "left")
         .withColumn("d2", distance2())
         .select(
             "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~far).alias("kept"), F.when(F.col("level") == 0, judged).alias("distance2"),
