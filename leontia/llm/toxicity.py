@@ -8,7 +8,8 @@ counts as quotation; hits close together count as abuse.  A logistic model over
 them into a score.
 
 The lexicon and the model are fitted on at most ``MAX_LABELLED`` labelled rows of each label, those of
-least hash of the id; near copies among them count once.  Scoring reads every whole text.  Language,
+least hash of the id; near copies among them count once.  A term must stand in 2 % of the toxic ones, four at
+least; of the ``MAX_CANDIDATES`` most frequent terms, the ``MAX_TERMS`` strongest are kept.  Scoring reads every whole text.  Language,
 source, ids and labels are no inputs of a score.
 
 Cases: a null or empty text has no hits and the score of the model's intercept; labels without a value
@@ -257,7 +258,7 @@ def _counts(rows: DataFrame, only: frozenset | None) -> DataFrame:
 
 
 def _distinct(rows: DataFrame) -> DataFrame:
-    """One row of each group that shares its least shingle, then its greatest: near copies count once."""
+    """Of rows of one label that agree in their least and their greatest shingle, one: near copies count once."""
     schema = pa.schema([("row", pa.string()), ("low", pa.int64()), ("high", pa.int64())])
 
     def run(batches):
@@ -270,8 +271,8 @@ def _distinct(rows: DataFrame) -> DataFrame:
                 yield batch_of(schema, row=batch.column("row").slice(i, j - i), low=low.view(np.int64), high=high.view(np.int64))
 
     keyed = rows.select("row", "text").mapInArrow(run, "row string, low long, high long")
-    once = keyed.groupBy("low").agg(F.min(F.struct("row", "high")).alias("r")).select("r.*")
-    return rows.join(once.groupBy("high").agg(F.min("row").alias("row")).select("row"), "row", "left_semi")
+    once = keyed.groupBy(F.substring("row", 1, 1), "low", "high").agg(F.min("row").alias("row")).select("row")  # a row's name starts with its label
+    return rows.join(once, "row", "left_semi")
 
 
 def _choose(pos: dict[str, int], neg: dict[str, int], n_pos: int, n_neg: int) -> list[str]:
@@ -323,7 +324,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Toxicity:
         return Toxicity()
     picked = [usable.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED) for t in (0, 1)]
     sample = F.broadcast(picked[0].unionByName(picked[1]).distinct())  # at most 2 * MAX_LABELLED ids
-    rows = docs.select("doc_id", "text").join(sample, "doc_id").withColumn("row", F.concat_ws(":", F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")))))
+    rows = docs.select("doc_id", "text").join(sample, "doc_id").withColumn("row", F.concat_ws(":", F.col("toxic").cast("string"), F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")))))
     rows = cut(_distinct(cut(rows)))
     n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if len(n) < 2:
