@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from leontia.llm import jaccard, mixing, pii, sentencepiece, toxicity
 from leontia.llm.common import cut, table
-from leontia.llm.queries import PII_KEY
+from leontia.llm.queries import pii_key
 
 #: Target weights of the domains, and the tokens aimed at as a multiple of those that come in.
 MIX_WEIGHTS, MIX_BUDGET = {"high": 0.8, "low": 0.2, "toxic": 0.0}, 1.25
@@ -32,7 +32,7 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.replace_pii(docs, PII_KEY).drop("n_entities")
+    return pii.replace_pii(docs, pii_key(spark), None)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

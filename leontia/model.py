@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 from typing import Any
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -143,8 +144,8 @@ class LabeledMatrix:
         shape = (rows.count(), cols.count())
         if data.ndim != 2 or data.shape != shape:
             raise DimensionError(f"data of shape {data.shape}, labels for {shape}")
-        cells = spark.createDataFrame([(i, j, float(v)) for (i, j), v in np.ndenumerate(data)], "row_pos long, col_pos long, value double")
-        return cls(cells, cols, rows)
+        row, col = (x.ravel().astype(np.int64) for x in np.indices(shape))
+        return cls(spark.createDataFrame(pa.table({"row_pos": row, "col_pos": col, "value": data.ravel()})), cols, rows)
 
     # ---- out of the model
 
@@ -156,6 +157,14 @@ class LabeledMatrix:
         n, m = self.shape
         return n * m
 
+    def head(self, n: int = 6) -> DataFrame:
+        """The long form of the first ``n`` cells, row by row."""
+        first = self.cells.orderBy("row_pos", "col_pos").limit(n)
+        return LabeledMatrix(first, self.cols, self.rows).to_long()
+
+    def __dir__(self) -> list[str]:
+        return sorted({*super().__dir__(), "cells", "cols", "rows"})
+
     def __repr__(self) -> str:
         return f"LabeledMatrix(rows: {', '.join(ax.labels(self.rows))}; columns: {', '.join(ax.labels(self.cols))})"
 
@@ -179,19 +188,26 @@ class LabeledMatrix:
 
     @classmethod
     def from_long(cls, df: DataFrame, value_col: str = "value", row_prefix: str = "row_", col_prefix: str = "col_", order: str | None = None) -> LabeledMatrix:
-        """Axes are the distinct labels in order of first appearance by ``order`` (default: by label); absent pairs are 0, of repeated pairs the last counts."""
+        """Axes are the distinct labels in order of first appearance; absent pairs are 0, of repeated pairs the last counts.
+
+        Order is that of the column ``order``, else that in which Spark reads the rows, which only a table in files has.
+        """
         row_of = {c: c.removeprefix(row_prefix) for c in df.columns if c.startswith(row_prefix)}
         col_of = {c: c.removeprefix(col_prefix) for c in df.columns if c.startswith(col_prefix)}
         if not row_of or not col_of or value_col not in df.columns:
             raise ValueError("the table lacks row, column or value columns")
 
+        if order is None:
+            order = next(n for n in map("seq{}".format, range(len(df.columns) + 1)) if n not in df.columns)
+            df = df.withColumn(order, F.monotonically_increasing_id())
+
         def axis(names: dict[str, str]) -> DataFrame:
-            first = df.groupBy(*names).agg((F.min(order) if order else F.min(F.struct(*names))).alias("first"))
+            first = df.groupBy(*names).agg(F.min(order).alias("first"))
             return ax.renumbered(first.withColumn("pos", F.lit(0)), "first").select("pos", *[F.col(k).alias(v) for k, v in names.items()])
 
         rows, cols = axis(row_of), axis(col_of)
         same = lambda a, names: [F.col(f"d.{k}").eqNullSafe(F.col(f"{a}.{v}")) for k, v in names.items()]
-        last = F.max_by(F.col(f"d.{value_col}"), F.col(f"d.{order}")) if order else F.max(F.col(f"d.{value_col}"))
+        last = F.max_by(F.col(f"d.{value_col}"), F.col(f"d.{order}"))
         placed = df.alias("d").join(rows.alias("r"), same("r", row_of)).join(cols.alias("c"), same("c", col_of))
         placed = placed.groupBy(F.col("r.pos").alias("row_pos"), F.col("c.pos").alias("col_pos")).agg(last.cast("double").alias("value"))
         return cls(densify(placed, rows, cols), cols, rows)

@@ -11,6 +11,7 @@ from functools import reduce
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -89,12 +90,17 @@ def by_predicate(axis: DataFrame, predicate: Predicate) -> DataFrame:
     if isinstance(predicate, Column):
         return axis.where(predicate)
     kept = [r["pos"] for r in axis.collect() if predicate({k: v for k, v in r.asDict().items() if k != "pos"})]
-    return axis.where(F.col("pos").isin(kept)) if kept else axis.where(F.lit(False))
+    return at(axis, kept)
 
 
 def by_mask(axis: DataFrame, mask: Sequence[bool]) -> DataFrame:
-    kept = [i for i, m in enumerate(mask) if m]
-    return axis.where(F.col("pos").isin(kept)) if kept else axis.where(F.lit(False))
+    return at(axis, [i for i, m in enumerate(mask) if m])
+
+
+def at(axis: DataFrame, kept: Sequence[int]) -> DataFrame:
+    """The axis rows at the given positions, by a join, as there may be many."""
+    places = axis.sparkSession.createDataFrame(pa.table({"pos": pa.array(list(kept), pa.int64())}))
+    return axis.join(places, "pos", "left_semi")
 
 
 def by_places(axis: DataFrame, places: Sequence[int]) -> DataFrame:

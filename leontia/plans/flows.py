@@ -7,10 +7,13 @@ nations.  Extensions are sums of quantity, tax and discount.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leontia.model import LabeledMatrix, densify
+from leontia.plans.algebra import written
 from leontia.plans.system import MRIO
 
 STRESSORS = ("Discount", "Quantity", "Tax")
@@ -30,8 +33,13 @@ class Flows:
         n = self.nations.select(F.col("pos").alias("n"), "CountryCode", "Region")
         self.axis = n.crossJoin(self.types).select((F.col("n") * self.k + F.col("t")).alias("pos"), "CountryCode", "Region", "Sector")
 
+    @cached_property
+    def sums(self) -> DataFrame:
+        """(row_pos, col_pos, returned, price, Quantity, Tax, Discount): the line items summed by place, once for all matrices; at most two rows a place."""
+        return written(self.lines().groupBy("row_pos", "col_pos", "returned").agg(*[F.sum(c).alias(c) for c in ("price", *STRESSORS)]))
+
     def lines(self) -> DataFrame:
-        """(row_pos, col_pos, nation, returned, price, quantity, tax, discount) of each line item; only the columns used are scanned."""
+        """(row_pos, col_pos, returned, price, Quantity, Tax, Discount) of each line item; only the columns used are scanned."""
         line = self.read("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
         sold = (
             line.join(self.read("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
@@ -43,7 +51,6 @@ class Flows:
         return sold.select(
             (F.col("s_nationkey") * self.k + F.col("t")).cast("long").alias("row_pos"),
             (F.col("c_nationkey") * self.k + F.col("c_custkey") % self.k).cast("long").alias("col_pos"),
-            F.col("c_nationkey").cast("long").alias("nation"),
             (F.col("l_returnflag") == "R").alias("returned"),
             F.col("l_extendedprice").alias("price"),
             F.col("l_quantity").alias("Quantity"),
@@ -52,16 +59,17 @@ class Flows:
         )
 
     def z(self) -> LabeledMatrix:
-        sums = self.lines().where(~F.col("returned")).groupBy("row_pos", "col_pos").agg(F.sum("price").alias("value"))
-        return LabeledMatrix(densify(sums, self.axis, self.axis), self.axis, self.axis)
+        kept = self.sums.where(~F.col("returned")).select("row_pos", "col_pos", F.col("price").alias("value"))
+        return LabeledMatrix(densify(kept, self.axis, self.axis), self.axis, self.axis)
 
     def y(self) -> LabeledMatrix:
-        sums = self.lines().where("returned").groupBy("row_pos", F.col("nation").alias("col_pos")).agg(F.sum("price").alias("value"))
+        nation = F.floor(F.col("col_pos") / self.k).cast("long")
+        sums = self.sums.where("returned").groupBy("row_pos", nation.alias("col_pos")).agg(F.sum("price").alias("value"))
         cols = self.nations.select("pos", "CountryCode")
         return LabeledMatrix(densify(sums, self.axis, cols), cols, self.axis)
 
     def impacts(self) -> LabeledMatrix:
-        sums = self.lines().groupBy(F.col("row_pos").alias("col_pos")).agg(*[F.sum(s).alias(s) for s in STRESSORS])
+        sums = self.sums.groupBy(F.col("row_pos").alias("col_pos")).agg(*[F.sum(s).alias(s) for s in STRESSORS])
         entries = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("row_pos"), F.col(s).alias("value")) for i, s in enumerate(STRESSORS)]))
         rows = self.spark.createDataFrame([(i, s, "lineitem") for i, s in enumerate(STRESSORS)], "pos long, Stressor string, Source string")
         cells = sums.select("col_pos", entries.alias("e")).select("e.row_pos", "col_pos", "e.value")
@@ -69,7 +77,7 @@ class Flows:
 
     def value_added(self) -> LabeledMatrix:
         """One row: quantity sold by the column's sector."""
-        sums = self.lines().groupBy(F.col("row_pos").alias("col_pos")).agg(F.sum("Quantity").alias("value")).withColumn("row_pos", F.lit(0).cast("long"))
+        sums = self.sums.groupBy(F.col("row_pos").alias("col_pos")).agg(F.sum("Quantity").alias("value")).withColumn("row_pos", F.lit(0).cast("long"))
         rows = self.spark.createDataFrame([(0, "Quantity")], "pos long, PrimaryInput string")
         return LabeledMatrix(densify(sums.select("row_pos", "col_pos", "value"), rows, self.axis), self.axis, rows)
 

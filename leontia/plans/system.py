@@ -17,6 +17,11 @@ from leontia.plans.algebra import LeontiefSystem, per_output, technical_coeffici
 __all__ = ["MRIO", "EnvironmentalExtension", "LeontiefSystem"]
 
 
+def _among(axis: DataFrame, kept: DataFrame) -> DataFrame:
+    """The axis at the positions of ``kept``, renumbered."""
+    return ax.renumbered(axis.join(kept, "pos", "left_semi"))
+
+
 @dataclass
 class EnvironmentalExtension:
     """Direct impacts F (stressor x sector) and intensities A = F / output; positional order F, A."""
@@ -105,20 +110,17 @@ class MRIO:
 
     def filter(self, predicate: ax.Predicate, dims: int = 1) -> MRIO:
         """By labels of Z: rows of Z and Y and columns of VA (dims 1), or columns of Z and VA (dims 2).  The extension is replaced by (Z, A)."""
-        axis = self.T.rows if dims == 1 else self.T.cols
-        kept = {r["pos"] for r in ax.by_predicate(axis, predicate).select("pos").collect()}
-        mask = [i in kept for i in range(axis.count())]
-        every = slice(None)
+        kept = ax.by_predicate(self.T.rows if dims == 1 else self.T.cols, predicate).select("pos")
         if dims == 1:
-            return MRIO.of(self.T[mask, every], self.FD[mask, every], self.VA[every, mask])
-        return MRIO.of(self.T[every, mask], self.FD, self.VA[every, mask])
+            return MRIO.of(self.T._rows_at(_among(self.T.rows, kept)), self.FD._rows_at(_among(self.FD.rows, kept)), self.VA._cols_at(_among(self.VA.cols, kept)))
+        return MRIO.of(self.T._cols_at(_among(self.T.cols, kept)), self.FD, self.VA._cols_at(_among(self.VA.cols, kept)))
 
     def sub_system(self, predicate: ax.Predicate, demand: ax.Predicate | None = None) -> MRIO:
         """Sectors that a predicate keeps, on both axes, with their demand (columns by ``demand``), value added and impacts."""
-        kept = {r["pos"] for r in ax.by_predicate(self.T.rows, predicate).select("pos").collect()}
-        mask, every = [i in kept for i in range(self.T.rows.count())], slice(None)
-        y = self.FD[mask, every]
-        return MRIO.of(self.T[mask, mask], y if demand is None else y.filter_cols(demand), self.VA[every, mask], impacts=self.env.F[every, mask])
+        kept = ax.by_predicate(self.T.rows, predicate).select("pos")
+        z = self.T._rows_at(_among(self.T.rows, kept))._cols_at(_among(self.T.cols, kept))
+        y, va, f = self.FD._rows_at(_among(self.FD.rows, kept)), self.VA._cols_at(_among(self.VA.cols, kept)), self.env.F._cols_at(_among(self.env.F.cols, kept))
+        return MRIO.of(z, y if demand is None else y.filter_cols(demand), va, impacts=f)
 
     def aggregate(self, columns: str | Sequence[str], dims: int = 1, agg_func: str | Callable = "sum") -> MRIO:
         """dims 1 groups the rows of Z and Y, the columns of VA, and X; dims 2 the columns of Z, VA and env.F, and of Y where it has the labels.  Coefficients are made anew."""

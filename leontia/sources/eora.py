@@ -20,7 +20,7 @@ REST = "ROW"
 
 
 def _cells(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return numbers(lines(spark, f"{path}/{name}.txt"), "\t" if _has_tab(spark, f"{path}/{name}.txt") else ",")
+    return numbers(lines(spark, f"{path}/{name}.txt"), "\t" if _has_tab(spark, f"{path}/{name}.txt") else ",", strict=True)
 
 
 def _has_tab(spark: SparkSession, path: str) -> bool:

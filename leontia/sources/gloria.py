@@ -123,7 +123,7 @@ def _checked(regions: int, sectors: int) -> None:
 def parse_supply_use(rows: DataFrame, regions: int, sectors: int, delimiter: str = ",") -> tuple[DataFrame, DataFrame]:
     """(supply, use): the cells at industry rows and product columns, and at product rows and industry columns."""
     _checked(regions, sectors)
-    cells = numbers(rows, delimiter)
+    cells = numbers(rows, delimiter, strict=True)
     moved = [_global("row_pos", sectors).alias("row_pos"), _global("col_pos", sectors).alias("col_pos"), F.col("value")]
     row, col = _is_product("row_pos", sectors), _is_product("col_pos", sectors)
     return cells.where(~row & col).select(*moved), cells.where(row & ~col).select(*moved)
@@ -132,17 +132,17 @@ def parse_supply_use(rows: DataFrame, regions: int, sectors: int, delimiter: str
 def parse_industry_columns(rows: DataFrame, regions: int, sectors: int, delimiter: str = ",") -> DataFrame:
     """Value added or satellites: all rows, industry columns."""
     _checked(regions, sectors)
-    return numbers(rows, delimiter).where(~_is_product("col_pos", sectors)).select("row_pos", _global("col_pos", sectors).alias("col_pos"), "value")
+    return numbers(rows, delimiter, strict=True).where(~_is_product("col_pos", sectors)).select("row_pos", _global("col_pos", sectors).alias("col_pos"), "value")
 
 
 def parse_product_rows(rows: DataFrame, regions: int, sectors: int, delimiter: str = ",") -> DataFrame:
     """Final demand: product rows, all columns."""
     _checked(regions, sectors)
-    return numbers(rows, delimiter).where(_is_product("row_pos", sectors)).select(_global("row_pos", sectors).alias("row_pos"), "col_pos", "value")
+    return numbers(rows, delimiter, strict=True).where(_is_product("row_pos", sectors)).select(_global("row_pos", sectors).alias("row_pos"), "col_pos", "value")
 
 
 def parse_household_satellites(rows: DataFrame, delimiter: str = ",") -> DataFrame:
-    return numbers(rows, delimiter)
+    return numbers(rows, delimiter, strict=True)
 
 
 def detect_dims(y_rows: DataFrame, delimiter: str = ",", categories: int = CATEGORIES) -> tuple[int, int]:

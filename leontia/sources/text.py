@@ -1,12 +1,12 @@
 """Headerless numeric text files as cells.
 
-Rows are numbered by where they stand in the file: Spark numbers the lines of each partition, and the
-partitions' line counts give the offsets.  Bad tokens count as 0.
+Rows are numbered by where they stand in the file: Spark numbers the lines that it reads, and the first number and
+the count of each block of the file, a row a block, give the offsets.  Bad tokens count as 0.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leontia.model import DimensionError
@@ -14,17 +14,24 @@ from leontia.model import DimensionError
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(row_pos, line) of the lines that are not blank."""
-    rdd = spark.sparkContext.textFile(path).map(lambda s: s.rstrip("\r")).filter(lambda s: s.strip(" \t\r,;") != "").zipWithIndex()
-    return spark.createDataFrame(rdd.map(lambda x: (x[1], x[0])), "row_pos long, line string")
+    kept = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block")).where(F.col("value").rlike(r"[^ \t\r,;]"))
+    kept = kept.withColumn("id", F.monotonically_increasing_id())
+    blocks = kept.groupBy("block").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return kept.join(blocks.select("block", "first", before.alias("before")), "block").select((F.col("before") + F.col("id") - F.col("first")).alias("row_pos"), F.col("value").alias("line"))
 
 
-def numbers(rows: DataFrame, delimiter: str = ",", width: int | None = None) -> DataFrame:
-    """Cells of (row_pos, line); with ``width``, every row must have that many fields."""
+def numbers(rows: DataFrame, delimiter: str = ",", width: int | None = None, strict: bool = False) -> DataFrame:
+    """Cells of (row_pos, line); with ``width``, every row must have that many fields; ``strict`` fails, when the cells are read, at a row that is not as wide as the first."""
     parts = rows.select("row_pos", F.split(F.regexp_replace("line", r"\s+$", ""), "[" + delimiter.replace("\t", "\\t") + "]").alias("parts"))
     if width is not None:
         ragged = parts.where(F.size("parts") != width).limit(1).collect()
         if ragged:
             raise DimensionError(f"row {ragged[0]['row_pos'] + 1} has {len(ragged[0]['parts'])} fields, not {width}")
+    if strict:
+        first = width_of(rows, delimiter)
+        said = F.concat(F.lit("row "), (F.col("row_pos") + 1).cast("string"), F.lit(" has "), F.size("parts").cast("string"), F.lit(f" fields, not {first}"))
+        parts = parts.withColumn("parts", F.when(F.size("parts") == first, F.col("parts")).otherwise(F.raise_error(said)))
     cells = parts.select("row_pos", F.posexplode("parts").alias("col_pos", "token"))
     return cells.select("row_pos", F.col("col_pos").cast("long").alias("col_pos"), F.coalesce(F.trim("token").try_cast("double"), F.lit(0.0)).alias("value"))
 

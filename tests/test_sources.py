@@ -24,11 +24,24 @@ def dense(df, n, m):
 
 
 def test_numbers(spark, tmp_path):
-    rows = lines(spark, write(tmp_path / "a.csv", "1.0,abc\r\nxyz,4.0\r\n\n"))
-    assert dense(numbers(rows), 2, 2) == [[1, 0], [0, 4]]
+    rows = lines(spark, write(tmp_path / "a.csv", "2.5,?\r\n\r\n-,7\r\n"))
+    assert dense(numbers(rows), 2, 2) == [[2.5, 0], [0, 7]]
     with pytest.raises(DimensionError):
         numbers(lines(spark, write(tmp_path / "b.csv", "1,2\n3\n")), width=2)
     assert numbers(lines(spark, write(tmp_path / "c.csv", "\r\n"))).count() == 0
+    with pytest.raises(Exception, match="row 3 has 1 fields, not 2"):
+        numbers(lines(spark, write(tmp_path / "d.csv", "1,2\n3,4\n5\n")), strict=True).collect()
+
+
+def test_rows_are_numbered_across_blocks(spark, tmp_path):
+    path = write(tmp_path / "long.csv", "".join(f"{i}\n" + "\n" * (i % 3) for i in range(3000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = {r.row_pos: r.line for r in lines(spark, path).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == {i: str(i) for i in range(3000)}
 
 
 def test_blocks(spark, tmp_path):
