@@ -174,12 +174,12 @@ _register("series_aggregate", _sql("SELECT Region, round(max(v), 2) AS value FRO
 _register("total_output", _sql("SELECT pos, CountryCode, Region, Sector, round(x.value, 2) AS value FROM x JOIN axis USING (pos)"), lambda w: _out(w.system().X))
 _register("technical_coefficients", _sql("SELECT row_pos, col_pos, round(value, 6) AS value FROM a"), lambda w: _r(w.system().A.cells, 6))
 _DEMAND = "SELECT row_pos AS pos, sum(value) AS value FROM y GROUP BY row_pos"
-_register("solve_leontief", _sql("SELECT pos, CountryCode, Region, Sector, round(solved.value, 1) AS value FROM solved JOIN axis USING (pos)", *_solve_sql(_DEMAND), recursive=True), lambda w: (lambda m: _out(m.L.solve(m.Y.sum_rows()), 1))(w.system()))
-_INDUCED = "SELECT CountryCode, Sector, round(solved.value, 1) AS InducedProduction FROM solved JOIN axis USING (pos)"
-_register("induced_production", _sql(_INDUCED, *_solve_sql(_DEMAND), recursive=True), lambda w: _r(w.system().induced_production(), 1, ("InducedProduction",)))
+_register("solve_leontief", _sql("SELECT pos, CountryCode, Region, Sector, round(solved.value, 2) AS value FROM solved JOIN axis USING (pos)", *_solve_sql(_DEMAND), recursive=True), lambda w: (lambda m: _out(m.L.solve(m.Y.sum_rows()), 2))(w.system()))
+_INDUCED = "SELECT CountryCode, Sector, round(solved.value, 2) AS InducedProduction FROM solved JOIN axis USING (pos)"
+_register("induced_production", _sql(_INDUCED, *_solve_sql(_DEMAND), recursive=True), lambda w: _r(w.system().induced_production(), 2, ("InducedProduction",)))
 _SOME = f"SELECT row_pos AS pos, sum(value) AS value FROM y WHERE col_pos IN (0, 2) GROUP BY row_pos"
-_register("induced_production_filtered", _sql(f"{_INDUCED} WHERE CountryCode = {_N(1)}", *_solve_sql(_SOME), recursive=True), lambda w: (lambda n: _r(w.system().induced_production([n[0], n[2]], n[1]), 1, ("InducedProduction",)))(_nations(w)))
-_register("top5_induced", _sql(f"{_INDUCED} ORDER BY solved.value DESC LIMIT 5", *_solve_sql(_DEMAND), recursive=True), lambda w: _r(w.system().induced_production().orderBy(F.desc("InducedProduction")).limit(5), 1, ("InducedProduction",)))
+_register("induced_production_filtered", _sql(f"{_INDUCED} WHERE CountryCode = {_N(1)}", *_solve_sql(_SOME), recursive=True), lambda w: (lambda n: _r(w.system().induced_production([n[0], n[2]], n[1]), 2, ("InducedProduction",)))(_nations(w)))
+_register("top5_induced", _sql(f"{_INDUCED} ORDER BY solved.value DESC LIMIT 5", *_solve_sql(_DEMAND), recursive=True), lambda w: _r(w.system().induced_production().orderBy(F.desc("InducedProduction")).limit(5), 2, ("InducedProduction",)))
 _register("multiplier_ratio", _sql("SELECT round((SELECT sum(value) FROM solved) / (SELECT sum(value) FROM y), 6) AS ratio", *_solve_sql(_DEMAND), recursive=True), lambda w: _ratio(w))
 _register("output_multipliers", _sql("SELECT pos, CountryCode, Region, Sector, round(m.value, 5) AS value FROM (SELECT pos, sum(value) AS value FROM series GROUP BY pos) m JOIN axis USING (pos)", "series(n, pos, value) AS (SELECT 0, pos, 1.0::DOUBLE FROM axis UNION ALL SELECT n + 1, a.col_pos, sum(a.value * s.value) FROM series s JOIN a ON a.row_pos = s.pos WHERE n < 300 GROUP BY n + 1, a.col_pos)", recursive=True), lambda w: _out(w.system().multipliers(), 5))
 _register("environmental_impact_vector", _sql("SELECT s AS pos, Stressor, 'lineitem' AS Source, round(sum(fa.value * x.value), 2) AS value FROM fa JOIN x ON x.pos = fa.pos GROUP BY ALL"), lambda w: (lambda m: _out(m.environmental_impact(m.X)))(w.system()))
