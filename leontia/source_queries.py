@@ -182,11 +182,11 @@ _register("release_X", f"WITH {_SYSTEM} SELECT CountryCode, Sector, round(value,
 _register("release_full_names", f"WITH {_SYSTEM} SELECT DISTINCT CASE CountryCode WHEN 'AAA' THEN 'Aland' ELSE 'Celand' END AS name FROM products", lambda s: s.createDataFrame([(n,) for n in _system(s, country_names="full").countries()], "name string"))
 _register("release_empty_regions", f"WITH {_SYSTEM} SELECT CountryCode AS name FROM regions WHERE region NOT IN (SELECT region FROM live)", lambda s: (lambda found: s.createDataFrame([(n,) for n in _REGION_NAMES if n not in found], "name string"))(_system(s).countries()))
 _register("workbook_sheets", "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{a}', '{b}', '{c}')" for i, (a, b, c) in enumerate(_STRESS)) + ") t(pos, indicator, head, unit)", lambda s: (lambda t: s.createDataFrame(list(zip(range(len(_STRESS)), t["Sat_indicator"], t["Sat_head_indicator"], t["Sat_unit"])), "pos int, indicator string, head string, unit string"))(read_sheet(f"{RELEASE}/2019/GLORIA_ReadMe_060.xlsx", "Satellites")))
-_register("safe_table", "SELECT n, kind, name, CAST(size AS DOUBLE) AS size FROM (VALUES (1, 'dict', 'a', 1.5), (2, 'dict', 'b', NULL), (1, 'scalars', 'c', 2.5), (1, 'rows', 'd', 3.5)) t(n, kind, name, size)", lambda s: _tables(s))
+_register("safe_table", "SELECT n, kind, name, CAST(size AS DOUBLE) AS size FROM (VALUES (1, 'dict', 'a', 1.5), (2, 'dict', 'b', 2.25), (1, 'scalars', 'c', 2.5), (1, 'rows', 'd', 3.5)) t(n, kind, name, size)", lambda s: _tables(s))
 
 
 def _tables(s: SparkSession) -> DataFrame:
-    made = {"dict": {"n": [1, 2], "name": ["a", "b"], "size": [1.5, None]}, "scalars": {"n": 1, "name": "c", "size": 2.5}, "rows": [{"n": 1, "name": "d", "size": 3.5}]}
+    made = {"dict": {"n": [1, 2], "name": ["a", "b"], "size": [1.5, 2.25]}, "scalars": {"n": 1, "name": "c", "size": 2.5}, "rows": [{"n": 1, "name": "d", "size": 3.5}]}
     out = None
     for kind, t in made.items():
         part = ax.safe_table(s, t).selectExpr("CAST(n AS int) n", f"'{kind}' AS kind", "name", "CAST(size AS double) size")
