@@ -38,7 +38,7 @@ class Bits:
         w = b[:m].copy()
         for k in range(1, 8):
             w |= b[k : m + k] << np.uint64(8 * k)
-        self.windows: list[int] = w.tolist()
+        self.wide, self.windows = w, w.tolist()
         self.at = 0
 
     def peek(self, at: int, n: int) -> int:
@@ -102,11 +102,11 @@ def _reversed(bits: int) -> np.ndarray:
     return _REVERSED[bits]
 
 
-def code_table(lengths: np.ndarray) -> tuple[list[int], int]:
+def code_table(lengths: np.ndarray) -> tuple[np.ndarray, int]:
     """(symbol << 4 | length for each window of bits, mask) of a canonical code; one symbol alone takes no bits."""
     used = np.flatnonzero(lengths)
     if len(used) == 1:
-        return [int(used[0]) << 4], 0
+        return np.array([int(used[0]) << 4], np.int32), 0
     if not len(used):
         raise ValueError("a prefix code has no symbols")
     order = used[np.argsort(lengths[used], kind="stable")]
@@ -114,8 +114,8 @@ def code_table(lengths: np.ndarray) -> tuple[list[int], int]:
     width = 1 << (most - lengths[order].astype(np.int64))
     if int(width.sum()) != 1 << most:
         raise ValueError("a prefix code is not complete")
-    table = np.repeat(order.astype(np.int64) << 4 | lengths[order], width)
-    return table[_reversed(most)].tolist(), (1 << most) - 1
+    table = np.repeat((order << 4 | lengths[order]).astype(np.int32), width)
+    return table[_reversed(most)], (1 << most) - 1
 
 
 def code_values(lengths: np.ndarray) -> np.ndarray:
@@ -142,22 +142,29 @@ def code_lengths(counts: np.ndarray, most: int = MAX_CODE) -> np.ndarray:
     leaves = counts[used].tolist()
     n = len(leaves)
     while True:  # the two lightest of the leaves and of the nodes made so far, both of which ascend
-        parent, nodes, i, j = [0] * (2 * n - 1), [], 0, 0
-        for at in range(n, 2 * n - 1):
-            total = 0
-            for _ in (0, 1):
-                if j == len(nodes) or (i < n and leaves[i] <= nodes[j]):
-                    total += leaves[i]
-                    parent[i] = at
-                    i += 1
-                else:
-                    total += nodes[j]
-                    parent[n + j] = at
-                    j += 1
-            nodes.append(total)
+        none = 2 * sum(leaves)
+        parent, weight, i, j = [0] * (2 * n - 1), [*leaves, none, *[none] * n], 0, n + 1
+        for at in range(n + 1, 2 * n):
+            x, y = weight[i], weight[j]
+            if x <= y:
+                parent[i] = at
+                i += 1
+                total, x = x, weight[i]
+            else:
+                parent[j - 1] = at
+                j += 1
+                total, y = y, weight[j]
+            if x <= y:
+                parent[i] = at
+                i += 1
+                weight[at] = total + x
+            else:
+                parent[j - 1] = at
+                j += 1
+                weight[at] = total + y
         depth = [0] * (2 * n - 1)
         for k in range(2 * n - 3, -1, -1):
-            depth[k] = depth[parent[k]] + 1
+            depth[k] = depth[parent[k] - 1] + 1
         if depth[0] <= most:
             lengths[used] = depth[:n]
             return lengths
@@ -180,24 +187,29 @@ def _read_lengths(bits: Bits, size: int) -> tuple[np.ndarray, int | None]:
     for k in LENGTH_ORDER[: 4 + bits.read(4)]:
         own[k] = bits.read(3)
     table, mask = code_table(own)
+    table = table.tolist()
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
-    at, last = 0, 8
-    while at < size and left:
+    out, last, windows, place = [], 8, bits.windows, bits.at
+    while len(out) < size and left:
         left -= 1
-        e = table[bits.windows[bits.at >> 3] >> (bits.at & 7) & mask]
-        bits.at += e & 15
-        symbol = e >> 4
+        if place > bits.n:
+            raise ValueError("the data ends too soon")
+        window = windows[place >> 3] >> (place & 7)
+        e = table[window & mask]
+        symbol, k = e >> 4, e & 15
+        place += k
         if symbol < 16:
-            lengths[at] = symbol
-            at += 1
+            out.append(symbol)
             last = symbol or last
             continue
-        value, n = (last, 3 + bits.read(2)) if symbol == 16 else (0, 3 + bits.read(3)) if symbol == 17 else (0, 11 + bits.read(7))
-        if at + n > size:
-            raise ValueError("code lengths run over their alphabet")
-        lengths[at : at + n] = value
-        at += n
-    return lengths, at if not left else None
+        first, n, value = (3, 2, last) if symbol == 16 else (3, 3, 0) if symbol == 17 else (11, 7, 0)
+        place += n
+        out += [value] * (first + (window >> k & (1 << n) - 1))
+    if len(out) > size:
+        raise ValueError("code lengths run over their alphabet")
+    bits.at = place
+    lengths[: len(out)] = out
+    return lengths, len(out) if not left else None
 
 
 def _length_fields(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -271,6 +283,62 @@ def _value(bits: Bits, symbol: int) -> int:
     return ((2 + (symbol & 1)) << n) + bits.read(n) + 1
 
 
+#: Bytes whose bits are looked up at once; a place that no step leads beyond.
+_PART, _FAR = 1 << 13, 1 << 30
+_SHIFTS = np.arange(8, dtype=np.uint32)
+
+
+def _singles(bits: Bits, at: int, codes: list, total: int, cache: int) -> tuple[np.ndarray, int]:
+    """(pixels up to the first back-reference, the place after them) of an opaque image with one group of codes.
+
+    The symbol that would start at each bit is looked up for all bits of a part at once, then the places are walked from pixel to
+    pixel.  A pixel from the colour cache equals the last literal of its slot, as it is put back where it came from; none are
+    returned if one comes from a slot that is empty.
+    """
+    g, r, b = codes[0:6:2]
+    alpha = np.uint32(int(codes[6][0]) >> 4 << 24)
+    copies, kinds, n, more, start = bool((g >= 4096).any()), [], 0, True, at
+    while n < total and more:
+        base = at >> 3
+        low = (bits.wide[base : base + _PART].astype(np.uint32)[:, None] >> _SHIFTS).ravel()
+        place, known = np.arange(len(low), dtype=np.int32), {}
+        for table, mask in ((g, codes[1]), (r, codes[3]), (b, codes[5])):
+            if id(table) not in known:
+                symbol = table[low & np.uint32(mask)]
+                known[id(table)] = symbol >> 4, place + (symbol & 15)
+        (green, after_g), (red, after_r), (blue, after_b) = (known[id(t)] for t in (g, r, b))
+        step = after_b.take(after_r.take(after_g, mode="clip"), mode="clip")
+        if copies:
+            step = np.where(green < 256, step, np.where(green < 280, _FAR, after_g)).astype(np.int32)
+        walk, stop, p, got = memoryview(step), len(low) - 3 * MAX_CODE, at & 7, []
+        append = got.append
+        for _ in range(total - n):
+            if p >= stop:
+                break
+            append(p)
+            p = walk[p]
+        if p == _FAR:
+            p, more = got.pop(), False
+        elif not got:
+            raise ValueError("the data ends too soon")
+        k = np.array(got, np.int64)
+        next_r = after_g[k]
+        next_b = after_r.take(next_r, mode="clip")
+        kinds.append((green[k].astype(np.uint32), red.take(next_r, mode="clip").astype(np.uint32), blue.take(next_b, mode="clip").astype(np.uint32)))
+        n, at = n + len(got), 8 * base + p
+    green, red, blue = (np.concatenate(x) for x in zip(*kinds))
+    pixels = alpha | red << np.uint32(16) | green << np.uint32(8) | blue
+    if copies and (green >= 280).any():
+        slot = np.where(green >= 280, green - np.uint32(280), pixels * np.uint32(CACHE_FACTOR) >> np.uint32(32 - cache)).astype(np.int64)
+        order = np.argsort(slot, kind="stable")
+        last = np.maximum.accumulate(np.where(green[order] < 280, np.arange(n), -1))
+        source = order[last]
+        if ((last < 0) | (slot[source] != slot[order])).any():
+            return pixels[:0], start  # an empty slot, whose pixel is put back elsewhere: left to the caller
+        pixels[order] = pixels[source]
+    return pixels, at
+
+
 def _read_image(bits: Bits, w: int, h: int, main: bool = False) -> np.ndarray:
     cache = 0
     if bits.read(1):
@@ -284,13 +352,22 @@ def _read_image(bits: Bits, w: int, h: int, main: bool = False) -> np.ndarray:
         groups = int(meta.max()) + 1
         block = np.repeat(np.repeat(meta, 1 << size, 0)[:h], 1 << size, 1)[:, :w].ravel().tolist()
     codes = [_read_codes(bits, cache) for _ in range(groups)]
-    total, out, windows, at = w * h, [], bits.windows, bits.at
+    total, out, windows, at, n = w * h, [], bits.windows, bits.at, 0
+    if main and block is None and not codes[0][7]:
+        pixels, at = _singles(bits, at, codes[0], total, cache)
+        n = len(pixels)
+        if n == total:
+            if at > bits.n:
+                raise ValueError("the data ends too soon")
+            bits.at = at
+            return pixels.reshape(h, w)
+        out = pixels.tolist()
     end, append = bits.n, out.append
+    codes = [[x.tolist() if k % 2 == 0 else x for k, x in enumerate(c)] for c in codes]
     slots, fed, shift = ([0] * (1 << cache) if cache else None), 0, 32 - cache
     g, mg, r, mr, b, mb, a, ma, d, md = codes[0]
     solid = ma == 0
     alpha = a[0] >> 4 << 24
-    n = 0
     while n < total:
         if block is not None:
             g, mg, r, mr, b, mb, a, ma, d, md = codes[block[n]]

@@ -110,3 +110,34 @@ def test_copies_next_to_a_cache():
     p[20:35] = p[3:18]
     for cache in (0, 1, 7, 10):
         assert np.array_equal(webp.decode(webp.encode(p, (), cache, least=8)), p)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_opaque_images(seed):
+    r = np.random.default_rng(seed)
+    h, w = int(r.integers(1, 400)), int(r.integers(1, 65))
+    p = (r.integers(0, 1 << 24, r.integers(1, 3000)) >> int(r.integers(0, 20)))[:, None]
+    p = p[r.integers(0, len(p), (h, w)), 0].astype(np.uint32) | np.uint32(webp.BLACK)
+    if seed % 3 == 0:
+        p[h // 2 :] = p[: h - h // 2]
+    raw = webp.encode(p, (), int(r.integers(0, 12)), least=8)
+    assert np.array_equal(webp.decode(raw), p)
+    if len(raw) > 200:
+        with pytest.raises(ValueError):
+            webp.decode(raw[:12] + b"VP8L" + (len(raw) // 2 - 20).to_bytes(4, "little") + raw[20 : len(raw) // 2])
+
+
+def test_empty_slot_of_the_cache():
+    out = webp.Writer()
+    for value, n in ((0x2F, 8), (1, 14), (0, 14), (0, 1), (0, 3), (0, 1), (1, 1), (1, 4), (0, 1)):
+        out.put(value, n)
+    green = np.zeros(282, np.int64)
+    green[[5, 281]] = 1
+    out.put_all(*webp._length_fields(green))
+    for size, symbol in ((256, 0), (256, 0), (256, 255), (40, 0)):
+        out.put_all(*webp._code(np.bincount([symbol], minlength=size), {})[2])
+    out.put(0b01, 2)  # slot 1, then a literal
+    body = out.done()
+    body += b"\0" * (len(body) & 1)
+    raw = b"RIFF" + (12 + len(body)).to_bytes(4, "little") + b"WEBPVP8L" + len(body).to_bytes(4, "little") + body
+    assert webp.decode(raw).tolist() == [[0xFF000000, 0xFF000500]]
