@@ -9,6 +9,11 @@ on to their children, down to ``DEPTH``, where a bucket's sets share so many ind
 are taken together as candidates.  ``RUNS`` is chosen from :func:`recall` for the target recall of a pair
 at the threshold; a pair that is missed is still found if both are linked with a third set.
 
+Members of a dense bucket need not all go on.  The number of tokens in which sketches differ is a metric, and sets taken for a
+pair differ in at most ``LOOSE``.  So whatever pairs with a set that differs from a representative of the bucket (some ``REPS``
+members) in at most ``STANDS`` tokens differs from that representative in at most ``STANDS + LOOSE``: all sets that near become
+candidates with the representative, those within ``STANDS`` stay behind, and no pair of the bucket is lost.
+
 Candidates only decide which texts are brought together; links are exact, on the sets themselves:
 
 1. Every set of a group is compared with the group's representative, whose text goes once to each block of
@@ -42,6 +47,8 @@ SKETCH, BRANCH, DEPTH, BUCKET, TARGET = 64, 1.6, 4, 24, 0.99
 BLOCK, BLOCK_BYTES = 1024, 1 << 20  # the most sets of a block in expectation, and the text they hold
 #: Sketches of two sets at the threshold agree in fewer than this share of tokens with probability under 1e-4.
 SKETCH_LEAST = 0.58
+#: Most mismatches of a pair by that; mismatches up to which a representative stands for a set; representatives of a bucket, and sets of a part of it, in expectation.
+LOOSE, STANDS, REPS, PART = int(SKETCH * (1 - SKETCH_LEAST)), 12, 64, 256
 
 _U = np.uint64
 
@@ -136,19 +143,6 @@ def _sketch_matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint32).reshape(-1, SKETCH)
 
 
-def _go_down(entries: DataFrame, depth: int) -> DataFrame:
-    """(id, path) of the children of entries (id, path, sketch)."""
-
-    def run(frames: Iterator[pd.DataFrame]):
-        for f in frames:
-            for i in range(0, len(f), 8192):
-                part = f.iloc[i : i + 8192]
-                parent, path = _children(part["path"].to_numpy().view(_U), _sketch_matrix(part["sketch"]), depth)
-                yield pd.DataFrame({"id": part["id"].to_numpy()[parent], "path": path.view(np.int64)})
-
-    return entries.mapInPandas(run, "id long, path long")
-
-
 def by_group(df: DataFrame, key: str, most: int, apply: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str) -> DataFrame:
     """Calls ``apply`` on frames of whole groups of ``key``, many groups a call; a group has a bounded number of rows."""
 
@@ -190,6 +184,48 @@ def _compare_bucket(f: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": np.concatenate([*a, np.zeros(0, np.int64)]), "b": np.concatenate([*b, np.zeros(0, np.int64)])})
 
 
+def _thinned(f: pd.DataFrame, depth: int) -> pd.DataFrame:
+    """Of parts of large buckets: the children (id, path) of the sets that no representative stands for, and the pairs (id, rep) of all sets near one."""
+    path, ids, own, is_rep, sk = f["path"].to_numpy().view(_U), f["id"].to_numpy(), f["own"].to_numpy(), f["is_rep"].to_numpy(), _sketch_matrix(f["sketch"])
+    out = []
+    for s, e in _groups(f["key"].to_numpy()):
+        members, reps = s + np.flatnonzero(own[s:e]), s + np.flatnonzero(is_rep[s:e])
+        reps = reps[np.argsort(ids[reps])]  # one order in all parts of a bucket
+        root = np.arange(len(reps))
+        a, b = _forest(_mismatches(sk[reps], sk[reps]) <= STANDS + LOOSE)
+        root[a] = b
+        away = _mismatches(sk[members], sk[reps])
+        near, wide = (away <= STANDS).any(axis=1), away <= STANDS + LOOSE
+        for r in np.unique(root):  # representatives that are joined already count as one
+            got = ids[members[wide[:, root == r].any(axis=1)]]
+            got = got[got != ids[reps[r]]]
+            out.append(pd.DataFrame({"id": got, "path": np.zeros(len(got), np.int64), "rep": ids[reps[r]], "child": False}))
+        on = members[~near]
+        parent, child = _children(path[on], sk[on], depth)
+        out.append(pd.DataFrame({"id": ids[on[parent]], "path": child.view(np.int64), "rep": ids[on[parent]], "child": True}))
+    return pd.concat(out, ignore_index=True)
+
+
+def _mismatches(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Tokens in which each row of ``a`` differs from each row of ``b``."""
+    out = np.zeros((len(a), len(b)), np.uint8)
+    for k in range(SKETCH):
+        out += a[:, k, None] != b[None, :, k]
+    return out
+
+
+def _go_down(entries: DataFrame, depth: int) -> DataFrame:
+    """(id, path, rep, child): children and pairs, see :func:`_thinned`, of entries (id, path, size, sketch) of large buckets."""
+    blocks = F.ceil(F.col("size") / PART).cast("int")
+    # Every part of a bucket has all its representatives.
+    of = entries.withColumn("blocks", blocks).withColumn("home", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    of = of.withColumn("is_rep", F.pmod(F.xxhash64("id", F.lit(depth)), F.lit(1 << 30)) * F.col("size") < REPS << 30)
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    dealt = of.withColumn("block", F.explode(F.when(F.col("is_rep"), every).otherwise(F.array("home"))))
+    dealt = dealt.select("id", "path", "sketch", "is_rep", (F.col("block") == F.col("home")).alias("own"), F.xxhash64("path", "block").alias("key"))
+    return by_group(dealt, "key", 1024, lambda f: _thinned(f, depth), "id long, path long, rep long, child boolean")
+
+
 def candidate_edges(sets: DataFrame) -> DataFrame:
     """Edges (a, b) between the ids of sets (id, sketch) that the recursion brings together."""
     entries = cut(_enter(sets))
@@ -205,7 +241,9 @@ def candidate_edges(sets: DataFrame) -> DataFrame:
         if depth == DEPTH:
             found.append(large.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct())
         else:
-            entries = cut(_go_down(large.join(sets, "id").select("id", "path", "sketch"), depth))
+            told = cut(_go_down(large.join(sets, "id").select("id", "path", "size", "sketch"), depth))
+            found.append(told.where("NOT child").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct())
+            entries = told.where("child").select("id", "path")
     edges = found[0]
     for more in found[1:]:
         edges = edges.unionByName(more)

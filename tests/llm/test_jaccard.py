@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from leontia.llm import jaccard
 from leontia.llm.graph import components
 
@@ -58,6 +60,14 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}, 200: 200, 201: 200}
 
 
+def test_components_run_no_jobs_to_compare_rounds(spark):
+    spark.sparkContext.setJobGroup("components", "")
+    components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"))
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("components")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < len(jobs) < 60  # 67 with two joins a round
+
+
 def test_empty_and_single(docs):
     assert jaccard.similar_documents(docs([])).count() == 0
     assert [tuple(r) for r in jaccard.similar_documents(docs(["only one"])).collect()] == [(0, 0, 0, 1)]
@@ -81,3 +91,28 @@ def test_spread_join(spark, monkeypatch):
     by = spark.range(30).selectExpr("id AS k", "id * 2 AS v")
     assert sorted(common.spread_join(df, by, "k").collect()) == sorted(df.join(by, "k").collect())
     assert common.spread_join(df, by, "k", how="left").count() == 500
+
+
+def test_no_pair_is_lost_where_representatives_stand_for_sets(spark, monkeypatch):
+    """A bucket of near copies in several parts: few go on, and pairs with those that stay behind are joined."""
+    monkeypatch.setattr(jaccard, "REPS", 40)
+    r = np.random.default_rng(5)
+    far = lambda s, n: np.where(np.isin(np.arange(64), r.permutation(64)[:n]), r.integers(1 << 32, size=64, dtype=np.uint32), s)
+    kinds = r.integers(1 << 32, size=(3, 64), dtype=np.uint32)
+    sk = np.stack([far(kinds[i % 3], r.integers(0, 8)) for i in range(900)] + [far(kinds[i % 3], r.integers(15, 34)) for i in range(300)] + [r.integers(1 << 32, size=64, dtype=np.uint32) for _ in range(100)])
+    ids = r.permutation(len(sk)) * 7
+    path = next(p for p in range(99) if len(jaccard._children(np.array([p], np.uint64), sk[:1], 1)[0]) == 2)
+    entries = spark.createDataFrame([(int(i), path, len(sk), s.tobytes()) for i, s in zip(ids, sk)], "id long, path long, size long, sketch binary")
+    told = jaccard._go_down(entries, 1).toPandas()
+    edges = told[~told["child"]]
+    assert len(edges) <= 1.1 * len(sk) and len(told) - len(edges) < len(sk)
+    roots = dict(components(spark.createDataFrame([(int(a), int(b)) for a, b in zip(edges["rep"], edges["id"])], "a long, b long")).collect())
+    assert len({roots[int(i)] for i in ids[:900]}) == 3
+    # A set goes on with all its children or stays behind, and then its pairs are in its component.
+    want = {int(i): len(jaccard._children(np.array([path], np.uint64), s[None], 1)[0]) for i, s in zip(ids, sk)}
+    have = told[told["child"]].groupby("id").size().to_dict()
+    behind = {i for i, n in want.items() if n and i not in have}
+    assert all(have[i] == want[i] for i in have) and len(behind) > 500
+    apart = jaccard._mismatches(sk, sk)
+    pairs = [(int(ids[a]), int(ids[b])) for a, b in zip(*np.nonzero(apart <= jaccard.LOOSE)) if a < b]
+    assert all(roots.get(a, a) == roots.get(b, b) for a, b in pairs if a in behind or b in behind)
